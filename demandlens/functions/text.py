@@ -18,29 +18,46 @@ from pyspark.sql import functions as F
 # What describes the file rather than the music.
 FILE_EXTENSIONS = "mp3|flac|wav|m4a|aac|ogg|opus|wma|ape|alac|aiff|mpc"
 NOISE_WORDS = (
+    "v0 v2 vbr cbr abr "
+    "flac mp3 wav aac ogg opus alac ape lossless lossy "
+    "cd cdrip cdq web webrip vinyl vinylrip rip scene "
+    "remaster remastered reissue deluxe bonus"
+).split()
+NOISE_NUMBERS = (
     r"\p{Nd}{2,4}[SPACE]?kbps",
-    r"v0|v2|vbr|cbr|abr",
     r"(?:16|24)[SPACE]?bit",
     r"(?:44\.1|48|88\.2|96|192)[SPACE]?khz",
-    r"flac|mp3|wav|aac|ogg|opus|alac|ape|lossless|lossy",
-    r"cd|cdrip|cdq|web|webrip|vinyl|vinylrip|rip|scene",
-    r"remaster|remastered|reissue|deluxe|bonus",
     r"(?:19|20)\p{Nd}{2}",
 )
 
-WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+# Plain ranges come first in a class: most text never gets to the properties.
+WORD = r"a-z0-9_\p{L}\p{N}"
+SPACE = r" \s\x1c-\x1f\x85\p{Z}"
 WORD_START = f"(?<![{WORD}])"
 WORD_END = f"(?![{WORD}])"
 
+
+def _any_of(words: list[str]) -> str:
+    """Alternatives grouped by their first letter."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
 PATH_SHAPE = r"^[A-Za-z]:[\\/]|^[\\/]|[\\/][^\n]*[\\/]"
 EXTENSION = rf"\.(?:{FILE_EXTENSIONS}){WORD_END}"
 BRACKETED = r"[\[({][^\])}]*[\])}]"
 LEADING_NUMBER = rf"^\p{{Nd}}{{1,2}}[{SPACE}]*[-._][{SPACE}]*"
 # One alternation stands for the families applied in turn: every family begins
 # and ends at a word edge, so removing one can never create another.
-NOISE = WORD_START + "(?:" + "|".join(NOISE_WORDS).replace("[SPACE]", f"[{SPACE}]") + ")" + WORD_END
-PUNCTUATION = rf"[^{WORD}{SPACE}&'\-]"
+NOISE = (
+    f"{WORD_START}(?:"
+    + "|".join(NOISE_NUMBERS).replace("[SPACE]", f"[{SPACE}]")
+    + f"|{_any_of(NOISE_WORDS)}){WORD_END}"
+)
+# Separators, punctuation and white space between what is kept.
+BETWEEN_WORDS = r"[^a-z0-9&'\-\p{L}\p{N}]+"
 SPACES = rf"[{SPACE}]+"
 TRAILING_ARTICLE = rf"(?i),[{SPACE}]*the[{SPACE}]*\z"
 NOT_WORD_OR_SPACE = rf"[^{WORD}{SPACE}]"
@@ -97,7 +114,8 @@ def fold(text: Column, probe: Column | None = None) -> Column:
 def take_file_name(text: Column) -> Column:
     """The last segment of path-shaped text; other text unchanged."""
     last_segment = F.substring_index(F.translate(text, "\\", "/"), "/", -1)
-    return F.when(text.rlike(PATH_SHAPE), last_segment).otherwise(text)
+    has_separator = F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\"))
+    return F.when(has_separator & text.rlike(PATH_SHAPE), last_segment).otherwise(text)
 
 
 def _squeeze(text: Column) -> Column:
@@ -108,9 +126,7 @@ def _strip_description(text: Column) -> Column:
     """Leading track number and noise words, then separators and punctuation."""
     text = F.regexp_replace(text, LEADING_NUMBER, "")
     text = F.regexp_replace(text, NOISE, " ")
-    text = F.translate(text, "_.", "  ")
-    text = _squeeze(F.regexp_replace(text, PUNCTUATION, " "))
-    return F.trim(text, F.lit(" -"))
+    return F.trim(F.regexp_replace(text, BETWEEN_WORDS, " "), F.lit(" -"))
 
 
 def normalize_query(text: Column) -> Column:
@@ -137,7 +153,7 @@ def artist_key(name: Column) -> Column:
 
 def query_core(normalized: Column) -> Column:
     """Normalised text without the words that hold no letter or digit."""
-    lone = rf"(?:^| )[^\p{{L}}\p{{N}} ]+(?= |\z)"
+    lone = r"(?:^| )[^a-z0-9 \p{L}\p{N}]+(?= |\z)"
     return F.ltrim(F.regexp_replace(normalized, lone, ""))
 
 

@@ -13,6 +13,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Text work is heavy per byte: small shuffles still use every core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     # Sketch states are small for most groups; spilling to a sort after only
     # 128 groups per task would sort nearly every roll-up.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",

@@ -96,14 +96,11 @@ def read_archive_without_suffix(spark: SparkSession, path: str) -> DataFrame:
 
 def wall_clock(time_text: Column) -> Column:
     """An ISO time as a zone-less timestamp, NULL when it does not parse."""
-
-    def part(index: int, default: str) -> Column:
-        found = F.regexp_extract(time_text, ISO_TIME, index)
-        return F.when(found == "", default).otherwise(found)
-
-    date = F.concat_ws("-", part(1, ""), part(3, ""), part(4, ""))
-    clock = F.concat_ws(":", part(5, "00"), part(6, "00"), part(7, "00"))
-    written = F.concat(date, F.lit(" "), clock, F.lit("."), part(8, "0"))
+    parts = F.regexp_replace(time_text, ISO_TIME, "$1-$3-$4 $5:$6:$7.$8")
+    # Parts left out are empty by now and stand for zero.
+    for gap, filled in ((" :", " 00:"), ("::", ":00:"), (":.", ":00.")):
+        parts = F.replace(parts, F.lit(gap), F.lit(filled))
+    written = F.concat(parts, F.lit("0"))
     return F.when(time_text.rlike(ISO_TIME), written.try_cast("timestamp_ntz"))
 
 
@@ -141,14 +138,16 @@ def classify_archive(lines: DataFrame, line: str = "line") -> DataFrame:
         )
         .otherwise(INVALID)
     )
-    return timed.select(
-        *lines.columns,
+    # A generated row keeps later filters on the reason from being pushed below
+    # and evaluating all of this a second time.
+    record = F.struct(
         reason.alias("reason"),
         "received_at",
         F.col("_time").alias("time_text"),
         F.col("_user").alias("searcher_pseudonym"),
         F.col("_query").alias("query_text"),
     )
+    return timed.select(*lines.columns, F.inline(F.array(record)))
 
 
 def reject_report(classified: DataFrame) -> DataFrame:

@@ -622,7 +622,7 @@ SELECT 2, count(*), count_if(parse_confidence >= 0.5),
     out["catalogue_build"] = f"""WITH {PIECES},
 whole AS (SELECT display_name FROM names WHERE (doc_id + piece_no) % 10 <> 0),
 spelled AS (
-    SELECT display_name FROM whole UNION ALL SELECT upper(display_name) FROM whole
+    SELECT display_name FROM whole UNION ALL SELECT upper(replace(display_name, 'ß', 'ss')) FROM whole
     UNION ALL SELECT display_name || ', The' FROM whole),
 keyed AS (SELECT {key_sql("display_name")} AS key, display_name FROM spelled)
 SELECT key AS normalized_name, min(display_name) AS display_name,

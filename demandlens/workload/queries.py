@@ -682,9 +682,9 @@ def reconcile_counts(spark, folder):
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    schema = A.table(spark, folder, "events").schema
+    # A pattern, as a stream takes a plain path for a folder.
+    events = spark.readStream.schema(schema).parquet(f"{folder}/{{events}}.parquet")
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
