@@ -68,7 +68,8 @@ def combining_marks() -> str:
     """A pattern for every character with a combining class.
 
     The Latin marks come first; the look-ahead spares other characters the
-    walk through the long class.
+    walk through the long class. It lets through what Java does not know yet,
+    as its tables are older than Python's.
     """
     marks = [code for code in range(sys.maxunicode + 1) if unicodedata.combining(chr(code))]
     spans: list[list[int]] = []
@@ -78,7 +79,7 @@ def combining_marks() -> str:
         else:
             spans.append([code, code])
     ranges = "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in spans)
-    return rf"[\x{{300}}-\x{{34e}}]|(?=\p{{M}})[{ranges}]"
+    return rf"[\x{{300}}-\x{{34e}}]|(?=[\p{{M}}\p{{Cn}}])[{ranges}]"
 
 
 def is_ascii(text: Column) -> Column:

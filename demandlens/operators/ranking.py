@@ -68,7 +68,7 @@ def positions_of(df: DataFrame, points: DataFrame, order: Sequence[Column]) -> D
     sorted_points = points.agg(F.sort_array(F.collect_list(point)).alias("points")).scalar()
     # The last page row is compared first: most rows stand behind all of them.
     placed = df.select(point.alias("point"), sorted_points.alias("points")).select(
-        F.when(F.col("point") >= F.element_at("points", -1), F.size("points"))
+        F.when(F.col("point") >= F.try_element_at("points", F.lit(-1)), F.size("points"))
         .otherwise(F.size(F.filter("points", lambda p: p <= F.col("point"))))
         .alias("passed")
     )

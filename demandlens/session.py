@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +52,11 @@ def build_session(app_name: str = "demandlens", master: str | None = None) -> Sp
     return apply_defaults(builder.getOrCreate())
 
 
+@lru_cache(maxsize=1)
+def _single_process_folder() -> str:
+    return tempfile.mkdtemp(prefix="demandlens-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
@@ -60,6 +66,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="demandlens-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _single_process_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
