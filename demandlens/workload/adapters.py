@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens import schemas as S
+from demandlens.session import spread_small
 
 CUTOVER = "2024-01-17 11:37:00"
 L_CUTOVER = "1998-01-01 00:00:00"
@@ -95,10 +96,14 @@ def order_lines_as_raw(spark: SparkSession, folder: str) -> DataFrame:
     return order_lines_as_parsed(spark, folder).select(*S.RAW_SCHEMA.names)
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_small(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def document_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence or line of every document: doc_id, piece_no, piece."""
     broken = F.split(F.replace(F.col("text"), F.lit(". "), F.lit("\n")), "\n")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.posexplode(broken).alias("piece_no", "piece")
     )
 

@@ -371,7 +371,7 @@ def take_file_name(spark, folder):
 
 @query
 def strip_diacritics(spark, folder):
-    documents = A.table(spark, folder, "documents")
+    documents = A.documents(spark, folder)
     return documents.select("doc_id", X.strip_diacritics(F.col("text")).alias("plain_text"))
 
 
@@ -385,7 +385,7 @@ def normalize_query(spark, folder):
 @query
 def normalize_document(spark, folder):
     """Whole documents through the same chain, new lines and all."""
-    return A.table(spark, folder, "documents").select(
+    return A.documents(spark, folder).select(
         "doc_id", X.normalize_query(F.col("text")).alias("normalized")
     )
 
