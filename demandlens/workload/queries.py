@@ -477,7 +477,8 @@ def parser_coverage(spark, folder):
 
 
 def _catalogue(spark, folder):
-    return catalogue.build_catalogue(A.document_names(spark, folder))
+    """The catalogue as users have it: built once, then read as a table."""
+    return store.read_catalogue(spark, _new_store(spark, folder))
 
 
 @query
@@ -613,7 +614,8 @@ def typed_searches(spark: SparkSession, folder: str) -> DataFrame:
 
 def _new_store(spark: SparkSession, folder: str) -> store.Store:
     place = store.Store(shared_dir(spark, "store"))
-    catalogue.replace_catalogue(_catalogue(spark, folder), place.catalogue)
+    built = catalogue.build_catalogue(A.document_names(spark, folder))
+    catalogue.replace_catalogue(built, place.catalogue)
     return place
 
 
