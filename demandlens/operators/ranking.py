@@ -14,12 +14,20 @@ from demandlens.session import shared_dir
 TOP_K_LIMIT = 10_000
 
 
-def rank_all(df: DataFrame, order: Sequence[Column], position: str = "position") -> DataFrame:
-    """Number every row by ``order``, which must be total.
+def rank_all(
+    df: DataFrame,
+    order: Sequence[Column],
+    position: str = "position",
+    first: int = 1,
+    last: int | None = None,
+) -> DataFrame:
+    """Number rows by ``order``, which must be total.
 
     Rows are range-partitioned by the order and written once, so that each
     keeps its range; the sizes of the ranges before it shift the row numbers
-    counted within a range.
+    counted within a range. Given ``first`` and ``last``, only the ranges that
+    hold such positions are numbered. There is one size per range, so they are
+    summed up in one place and broadcast.
     """
     spark = df.sparkSession
     path = shared_dir(spark, "ranked")
@@ -29,12 +37,15 @@ def rank_all(df: DataFrame, order: Sequence[Column], position: str = "position")
 
     sizes = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    starts = starts.where(F.col("_start") + F.col("_rows") >= first)
+    if last is not None:
+        starts = starts.where(F.col("_start") < last)
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
-        stored.join(starts, "_range")
+        stored.join(F.broadcast(starts), "_range")
         .withColumn(position, F.col("_start") + within)
-        .drop("_range", "_start")
+        .drop("_range", "_rows", "_start")
     )
 
 
@@ -49,7 +60,7 @@ def page(
     """Rows at positions offset+1 … offset+page_size of a total order."""
     last = offset + page_size
     if last > top_k_limit:
-        ranked = rank_all(df, order, position)
+        ranked = rank_all(df, order, position, offset + 1, last)
     else:
         ranked = df.withColumn(position, F.row_number().over(Window.orderBy(*order)))
         ranked = ranked.where(F.col(position) <= last)

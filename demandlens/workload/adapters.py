@@ -108,11 +108,11 @@ def document_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _nth_word(text: Column, n: int) -> Column:
+def nth_word(text: Column, n: int) -> Column:
     return F.coalesce(F.get(F.split(text, " "), F.lit(n - 1)), F.lit(""))
 
 
-def _after_words(text: Column, n: int) -> Column:
+def after_words(text: Column, n: int) -> Column:
     skipped = F.char_length(F.substring_index(text, " ", n))
     return F.substring(text, skipped + 2, F.char_length(text))
 
@@ -127,13 +127,13 @@ def document_queries(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape == 2, F.concat(F.lit("C:\\Music\\"), piece, F.lit(".flac")))
         .when(
             shape == 3,
-            F.concat(F.substring_index(piece, " ", 2), F.lit(" - "), _after_words(piece, 2)),
+            F.concat(F.substring_index(piece, " ", 2), F.lit(" - "), after_words(piece, 2)),
         )
         .when(shape == 4, F.concat(piece, F.lit(" discography")))
         .otherwise(
             F.concat(
-                F.lit("01 - "), _nth_word(piece, 1), F.lit(" - "), _nth_word(piece, 2),
-                F.lit(" - "), _after_words(piece, 2),
+                F.lit("01 - "), nth_word(piece, 1), F.lit(" - "), nth_word(piece, 2),
+                F.lit(" - "), after_words(piece, 2),
             )
         )
     )

@@ -606,9 +606,17 @@ SELECT doc_id, piece_no, {key_sql("display_name")} AS artist_key FROM dressed"""
 SELECT doc_id, piece_no, p_artist AS artist_name, p_album AS album_name, p_track AS track_name,
     round(p_confidence, 2) AS parse_confidence FROM parsed"""
     out["parser_accuracy"] = f"""WITH {NORMALIZED}, {parse_ctes("normalized")},
+labels AS (
+    SELECT p_artist, p_track,
+        CASE piece_no % 6 WHEN 3 THEN head WHEN 5 THEN string_split(piece, ' ')[1] ELSE piece END
+            AS artist_label,
+        CASE WHEN piece_no % 6 IN (3, 5) THEN tail ELSE '' END AS track_label
+    FROM parsed
+),
 labelled AS (
-    SELECT p_artist = {normalize_sql("head")} AND p_track = {normalize_sql("tail")} AS is_match
-    FROM parsed WHERE piece_no % 6 = 3)
+    SELECT p_artist = {normalize_sql("artist_label")} AND p_track = {normalize_sql("track_label")}
+        AS is_match
+    FROM labels)
 SELECT count(*) AS labelled, count_if(is_match) AS matched,
     round(count_if(is_match) / count(*), 6) AS accuracy
 FROM labelled"""

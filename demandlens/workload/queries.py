@@ -404,7 +404,7 @@ def artist_key(spark, folder):
     )
 
 
-def _parsed_documents(spark, folder, *columns):
+def _parsed_documents(spark, folder):
     normalized = A.document_queries(spark, folder).select(
         "doc_id", "piece_no", "piece", X.normalize_query(F.col("query_text")).alias("normalized")
     )
@@ -429,16 +429,17 @@ def parse_query(spark, folder):
 
 @query
 def parser_accuracy(spark, folder):
-    """Queries written as "artist - track" carry their own labels."""
-    labelled = (
-        _parsed_documents(spark, folder)
-        .where(F.col("piece_no") % 6 == 3)
-        .select(
-            "artist_name",
-            "track_name",
-            X.normalize_query(F.substring_index("piece", " ", 2)).alias("artist_label"),
-            X.normalize_query(A._after_words(F.col("piece"), 2)).alias("track_label"),
-        )
+    """Each shape of query says what should come out of it."""
+    shape, piece = F.col("piece_no") % 6, F.col("piece")
+    named = F.when(shape == 3, F.substring_index(piece, " ", 2)).when(
+        shape == 5, F.substring_index(piece, " ", 1)
+    )
+    split_off = F.when(shape.isin(3, 5), A.after_words(piece, 2)).otherwise("")
+    labelled = _parsed_documents(spark, folder).select(
+        "artist_name",
+        "track_name",
+        X.normalize_query(F.coalesce(named, piece)).alias("artist_label"),
+        X.normalize_query(split_off).alias("track_label"),
     )
     is_match = (F.col("artist_name") == F.col("artist_label")) & (
         F.col("track_name") == F.col("track_label")
