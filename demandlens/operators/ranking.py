@@ -63,7 +63,9 @@ def page(
         ranked = rank_all(df, order, position, offset + 1, last)
     else:
         ranked = df.withColumn(position, F.row_number().over(Window.orderBy(*order)))
-        ranked = ranked.where(F.col(position) <= last)
+        ranked = ranked.where(F.col(position) <= last).withColumn(
+            position, F.col(position).cast("bigint")
+        )
     return ranked.where(F.col(position).between(offset + 1, last))
 
 

@@ -59,7 +59,8 @@ lines_latest AS (
 
 PIECES = r"""
 pieces AS (
-    SELECT doc_id, generate_subscripts(parts, 1) - 1 AS piece_no, unnest(parts) AS piece
+    SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS piece_no,
+        unnest(parts) AS piece
     FROM (SELECT doc_id, string_split(replace(text, '. ', chr(10)), chr(10)) AS parts
           FROM documents)
 ),
@@ -617,14 +618,14 @@ labelled AS (
     SELECT p_artist = {normalize_sql("artist_label")} AND p_track = {normalize_sql("track_label")}
         AS is_match
     FROM labels)
-SELECT count(*) AS labelled, count_if(is_match) AS matched,
+SELECT count(*) AS labelled, CAST(count_if(is_match) AS BIGINT) AS matched,
     round(count_if(is_match) / count(*), 6) AS accuracy
 FROM labelled"""
     out["parser_coverage"] = f"""{RESOLVED}
-SELECT 1 AS parser_version, count(*) AS row_count, count_if(p_confidence >= 0.5) AS covered,
+SELECT 1 AS parser_version, count(*) AS row_count, CAST(count_if(p_confidence >= 0.5) AS BIGINT) AS covered,
     round(count_if(p_confidence >= 0.5) / count(*), 6) AS coverage FROM parsed
 UNION ALL
-SELECT 2, count(*), count_if(parse_confidence >= 0.5),
+SELECT 2, count(*), CAST(count_if(parse_confidence >= 0.5) AS BIGINT),
     round(count_if(parse_confidence >= 0.5) / count(*), 6) FROM resolved"""
 
     out["catalogue_build"] = f"""WITH {PIECES},
