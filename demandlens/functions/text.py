@@ -8,6 +8,7 @@ and decomposed by the ICU library that ships with Spark.
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import lru_cache
@@ -30,8 +31,10 @@ NOISE_NUMBERS = (
     r"(?:19|20)\p{Nd}{2}",
 )
 
-# Plain ranges come first in a class: most text never gets to the properties.
-WORD = r"a-z0-9_\p{L}\p{N}"
+# Letters and digits listed one by one make a bit set, which Java tests before
+# it looks at the properties; most text never gets that far.
+PLAIN = string.ascii_lowercase + string.digits
+WORD = PLAIN + r"_\p{L}\p{N}"
 SPACE = r" \s\x1c-\x1f\x85\p{Z}"
 WORD_START = f"(?<![{WORD}])"
 WORD_END = f"(?![{WORD}])"
@@ -51,13 +54,15 @@ BRACKETED = r"[\[({][^\])}]*[\])}]"
 LEADING_NUMBER = rf"^\p{{Nd}}{{1,2}}[{SPACE}]*[-._][{SPACE}]*"
 # One alternation stands for the families applied in turn: every family begins
 # and ends at a word edge, so removing one can never create another.
+# The look-ahead rules most places out before the word edge is looked at.
+_NOISE_FIRST = "".join(sorted({word[0] for word in NOISE_WORDS})) + string.digits
 NOISE = (
-    f"{WORD_START}(?:"
+    rf"(?=[{_NOISE_FIRST}\p{{Nd}}]){WORD_START}(?:"
     + "|".join(NOISE_NUMBERS).replace("[SPACE]", f"[{SPACE}]")
     + f"|{_any_of(NOISE_WORDS)}){WORD_END}"
 )
 # Separators, punctuation and white space between what is kept.
-BETWEEN_WORDS = r"[^a-z0-9&'\-\p{L}\p{N}]+"
+BETWEEN_WORDS = rf"[^{PLAIN}&'\-\p{{L}}\p{{N}}]+"
 SPACES = rf"[{SPACE}]+"
 TRAILING_ARTICLE = rf"(?i),[{SPACE}]*the[{SPACE}]*\z"
 NOT_WORD_OR_SPACE = rf"[^{WORD}{SPACE}]"
@@ -153,9 +158,16 @@ def artist_key(name: Column) -> Column:
 
 
 def query_core(normalized: Column) -> Column:
-    """Normalised text without the words that hold no letter or digit."""
-    lone = r"(?:^| )[^a-z0-9 \p{L}\p{N}]+(?= |\z)"
-    return F.ltrim(F.regexp_replace(normalized, lone, ""))
+    """Normalised text without the words that hold no letter or digit.
+
+    Such words can only be made of the three marks normalisation keeps.
+    """
+    lone = rf"(?:^| )[^{PLAIN} \p{{L}}\p{{N}}]+(?= |\z)"
+    has_mark = F.contains(normalized, F.lit("-"))
+    for mark in ("&", "'"):
+        has_mark = has_mark | F.contains(normalized, F.lit(mark))
+    cleaned = F.ltrim(F.regexp_replace(normalized, lone, ""))
+    return F.when(has_mark, cleaned).otherwise(normalized)
 
 
 def is_plain_core(core: Column) -> Column:
