@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +54,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+class WordTable(dict):
+    """What a task has worked out for words, of which it forgets those not seen lately.
+
+    It lives as long as the Python worker. At most `most` words are current and as many
+    wait from before; a word that is met again becomes current again.
+    """
+
+    def __init__(self, work: Callable[[list[str]], Iterable[tuple[str, object]]], most: int):
+        super().__init__()
+        self.work, self.most, self.before = work, most, {}
+
+    def learn(self, wanted: set[str]) -> None:
+        """Afterwards the table has all of these; new ones are worked out together."""
+        new = wanted - self.keys()
+        if len(self) + len(new) > self.most:
+            self.before = dict(self)
+            self.clear()
+            new = wanted
+        again = new & self.before.keys()
+        self.update((x, self.before[x]) for x in again)
+        self.update(self.work(list(new - again)))

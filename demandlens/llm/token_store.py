@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import mix64, shuffle_partitions, slices
+from demandlens.llm.common import WordTable, mix64, shuffle_partitions, slices
 
 MAGIC = 0x31534449
 TRAILER = 32
-#: Pieces between single spaces whose ids a task remembers.
-REMEMBERED = 400_000
+#: Pieces between single spaces whose ids a worker remembers (twice as many at most).
+REMEMBERED = 300_000
 #: Payload bytes read at once.
 READ_BYTES = 8 << 20
 GAMMA = 2.0
@@ -84,8 +85,9 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        # The first piece of a text has no space before it.
+        self.first = WordTable(self._worked_out(""), REMEMBERED)
+        self.later = WordTable(self._worked_out(" "), REMEMBERED)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -98,19 +100,15 @@ class Encoder:
             return None
         return None if any(c in text for c in UNUSUAL_SPACES) else pieces
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
-        order = list(wanted - known.keys())
-        if len(known) + len(order) > REMEMBERED:
-            known.clear()
-            order = list(wanted)
-        known.update(zip(order, self._encode([before + x for x in order]), strict=True))
+    def _worked_out(self, before: str):
+        return lambda words: zip(words, self._encode([before + x for x in words]), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(x) for x in texts]
         whole = [i for i, x in enumerate(cut) if x is None]
         by_whole = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        self._learn(self.first, {x[0] for x in cut if x}, "")
-        self._learn(self.later, set().union(*(x[1:] for x in cut if x)), " ")
+        self.first.learn({x[0] for x in cut if x})
+        self.later.learn(set().union(*(x[1:] for x in cut if x)))
         first, later = self.first.__getitem__, self.later.__getitem__
         return [
             (by_whole[i] if x is None else first(x[0]) + b"".join(map(later, x[1:]))) + self.end
@@ -124,9 +122,15 @@ UNUSUAL_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f
 )
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str, end_id: int) -> Encoder:
+    """One per Python worker, whatever the number of its tasks."""
+    return Encoder(tokenizer, end_id)
+
+
 def _write_shards(path: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        encoder, shard = _encoder(tokenizer, end_id), TaskContext.get().partitionId()
         lengths: list[np.ndarray] = []
         made: list[pa.RecordBatch] = []
 
