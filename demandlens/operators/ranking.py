@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from demandlens.session import shared_dir
 
-# Up to this position a page is cut by a top-k inside every task, whose
-# survivors meet in one. Deeper pages rank range partitions instead.
-TOP_K_LIMIT = 10_000
+# Up to this position a page is cut by a top-k inside every task, whose survivors
+# meet in one; Spark does so up to spark.sql.optimizer.windowGroupLimitThreshold,
+# 1,000 by default. Deeper pages rank range partitions instead.
+TOP_K_LIMIT = 1_000
 
 
 def rank_all(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandlens import schemas as S
@@ -50,6 +53,11 @@ def filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """What Spark named the stream of a checkpoint: kept by restarts, new with a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
 def read_layer(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table with its declared layout; empty when nothing was written yet."""
     target, files = filesystem(spark, path)
@@ -74,10 +82,25 @@ def read_catalogue(spark: SparkSession, store: Store) -> DataFrame:
     return read_layer(spark, store.catalogue, S.CATALOGUE_SCHEMA)
 
 
-def append_raw(raw: DataFrame, store: Store) -> None:
-    """Add observations; repeated ones collapse on reading."""
-    rows = S.conform(S.refuse_usernames(raw), S.RAW_SCHEMA)
-    rows.write.mode("append").partitionBy("received_date").parquet(store.raw)
+def write_raw_batch(raw: DataFrame, path: str, batch: str) -> None:
+    """Put rows below their dates and the name of their batch.
+
+    A batch that is written again replaces itself and nothing else, so live batches
+    and imports lie in one layer. Large dates are split over files by their size.
+    """
+    rows = S.conform(S.refuse_usernames(raw), S.RAW_SCHEMA).withColumn("batch", F.lit(batch))
+    (
+        rows.hint("rebalance", "received_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("received_date", "batch")
+        .parquet(path)
+    )
+
+
+def append_raw(raw: DataFrame, store: Store, batch: str | None = None) -> None:
+    """Add observations under a batch name of their own; repeats collapse on reading."""
+    write_raw_batch(raw, store.raw, batch or f"import-{uuid.uuid4().hex}")
 
 
 ENTITIES = (ARTIST, TRACK)

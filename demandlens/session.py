@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings every job here expects. Only settings that are still
 # unset (or at Spark's own default) are touched, so a cluster's choices win.
@@ -52,21 +52,6 @@ def build_session(app_name: str = "demandlens", master: str | None = None) -> Sp
     return apply_defaults(builder.getOrCreate())
 
 
-def spread_small(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a small input over all cores when the work on it is heavy.
-
-    A small file is one split, however long its rows take. Inputs beyond the
-    usual split size per core are left as they are, so nothing large is moved.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * 2, *key) if size < cores * split else df
-
-
 @lru_cache(maxsize=1)
 def _single_process_folder() -> str:
     return tempfile.mkdtemp(prefix="demandlens-")
@@ -79,7 +64,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         root = _single_process_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

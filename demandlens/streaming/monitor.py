@@ -12,6 +12,7 @@ from demandlens.operators.dedup import SEARCH_KEY
 
 TICK_SECONDS = 60
 SILENCE_TOLERANCE_TICKS = 5
+COUNTERS = ("received", "dropped", "duplicates_skipped")
 
 
 def search_rate(searches: DataFrame, time: str = "received_at") -> DataFrame:
@@ -105,14 +106,28 @@ class SilenceWatchdog(StreamingQueryListener):
         self.silent_ticks = 0
 
 
-def loss_counters(query) -> dict[str, int]:
-    """Counters of a running stream: rows in, rows too late, rows held in state."""
-    reports = query.recentProgress
-    states = [state for report in reports for state in report["stateOperators"]]
-    return {
-        "received": sum(report["numInputRows"] for report in reports),
-        "dropped": sum(state["numRowsDroppedByWatermark"] for state in states),
-        "duplicates_skipped": sum(
-            state.get("customMetrics", {}).get("numDroppedDuplicateRows", 0) for state in states
-        ),
-    }
+class LossCounters(StreamingQueryListener):
+    """Rows in, rows too late and repeats of every stream, over all its triggers.
+
+    Register with ``spark.streams.addListener`` before the stream starts; ``totals`` is
+    keyed by the stream's id. A stream's own reports end after the last hundred.
+    """
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.totals.setdefault(str(event.id), dict.fromkeys(COUNTERS, 0))
+
+    def onQueryProgress(self, event) -> None:
+        total = self.totals.setdefault(str(event.progress.id), dict.fromkeys(COUNTERS, 0))
+        total["received"] += event.progress.numInputRows
+        for state in event.progress.stateOperators:
+            total["dropped"] += state.numRowsDroppedByWatermark
+            total["duplicates_skipped"] += state.customMetrics.get("numDroppedDuplicateRows", 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

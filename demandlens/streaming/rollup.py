@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from demandlens.operators.hourly import ARTIST, conform_hourly, hourly_states, merge_increments
+from demandlens.plans.store import stream_name
 from demandlens.schemas import hourly_schema
 
 
@@ -21,14 +23,22 @@ def maintain_hourly(
     """Roll up each micro-batch and keep it as an increment of its own.
 
     Counts and sketches merge, so no streaming state is held and no row is ever
-    too late. An increment is written under its batch number: a batch run again
-    after a failure replaces what it wrote before. Repeats must be suppressed
+    too late. An increment lies below its day, under the stream's own name and batch
+    number: a batch run again after a failure replaces what it wrote before, and a
+    stream with a new checkpoint adds to what is there. Repeats must be suppressed
     upstream.
     """
 
     def add_increment(batch: DataFrame, batch_id: int) -> None:
         states = conform_hourly(hourly_states(batch, entity), entity)
-        states.write.mode("overwrite").parquet(f"{path}/increment={batch_id}")
+        name = stream_name(batch.sparkSession, checkpoint)
+        (
+            states.withColumn("increment", F.lit(f"{name}-{batch_id}"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("hour_date", "increment")
+            .parquet(path)
+        )
 
     writer = (
         parsed.writeStream.foreachBatch(add_increment)

@@ -82,7 +82,9 @@ queries AS (
     FROM worded
 ),
 names AS (
-    SELECT doc_id, piece_no, piece AS display_name FROM worded WHERE len(words) <= 3
+    SELECT doc_id, piece_no,
+        array_to_string(words[1:piece_no % 8 + 1], ' ') AS display_name
+    FROM worded
 )"""
 
 
