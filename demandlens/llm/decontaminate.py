@@ -4,8 +4,9 @@
    items of bounded size (`block_grams`). Where some occur, the passage around them
    is cut out, an item's length to either side.
 2. Over all documents the number of documents per n-gram is counted. An item's seeds are
-   the rarer half of its n-grams that occur at all, with ties: a stock phrase does not make a
-   candidate, yet a passage that a third of all documents share keeps its own rarest.
+   its n-grams that are not far more frequent than its usual (median) one: a stock phrase does
+   not make a candidate, yet a passage that a third of all documents share keeps its
+   n-grams, and so do the parts of it that are left in edited copies.
 3. Distinct (item, passage) pairs with a seed are aligned by words (match +2, mismatch
    and gap -1). A document is contaminated by an item when its best score reaches
    `threshold` of the item's full score, 0.5 by default, so edited and partial copies count.
@@ -23,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import slices, stored
+from demandlens.llm.common import bound_batches, slices, stored
 
 GRAM = 5
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An n-gram in so many times as many documents as the item's median is a stock phrase.
+RARE = 8
 #: n-grams of test items that one pass over the texts takes along.
 BLOCK_GRAMS = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -155,6 +158,7 @@ def contaminated(
     threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS,
 ) -> DataFrame:
     """row_no, key, item_id, score, full_score of each contaminated document and item."""
+    bound_batches(docs.sparkSession)
     number = F.col(row_no) if row_no else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row_no"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     items = benchmark.select(
@@ -178,12 +182,10 @@ def _scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFram
     passages = passages.withColumn("passage_key", F.md5("passage"))
     each = passages.select("row_no", "item_id", F.explode("grams").alias("gram"))
     seen = each.groupBy("item_id", "gram").agg(F.countDistinct("row_no").alias("df"))
-    # An item has as many n-grams as words at most, so its window is small.
-    rarest = Window.partitionBy("item_id").orderBy("df")
-    every = Window.partitionBy("item_id")
+    usual = seen.groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("usual"))
+    # An item has as many n-grams as words at most.
     seeds = (
-        seen.withColumn("place", F.rank().over(rarest)).withColumn("n", F.count("*").over(every))
-        .where(F.col("place") <= F.ceil(F.col("n") / 2))
+        seen.join(usual, "item_id").where(F.col("df") <= RARE * F.col("usual"))
         .groupBy("item_id").agg(F.collect_set("gram").alias("seeds"))
     )
     candidates = passages.join(seeds, "item_id").where(F.arrays_overlap("grams", "seeds"))
