@@ -16,12 +16,15 @@ Search. Places are banded (64 bands of 8: a pair at 0.8 is missed with probabili
 one at 0.85 with 2e-9), texts with equal words are one node, and
 
 1. each node is verified against the least node it shares a band with;
-2. wherever a band's nodes are then in more than one component, the nodes outside that of
-   the band's least node are verified against all of the band's nodes of other
-   components and of a possible size.
+2. in bands whose nodes are then in more than one component, the nodes outside that of the
+   band's least node are compared with all of the band's nodes of other components. A pair
+   can share no more than each has in common with any of these nodes, which rules out
+   copies that were changed in too many places of their own; and it must agree in enough
+   of one bit per place (a pair at 0.8 does not with probability 4e-6). What is left is
+   verified.
 
-So a group of thousands of near copies costs one comparison each, and no link inside a
-band is lost. Verification compares the multisets (32-bit shingle hashes).
+So a group of thousands of near copies costs about one verification each. Verification
+compares the multisets (32-bit shingle hashes).
 
 Defined cases: words are runs of letters, digits and underscores in lower case; a text of
 one to four words is one shingle; texts without words are linked when equal, null being
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import mix64, slices, stored
+from demandlens.llm.common import bound_batches, mix64, slices, stored
 from demandlens.llm.components import components
 
 SHINGLE = 5
@@ -48,8 +51,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 64, 8
 PLACES = BANDS * ROWS
 SLICE = 300_000
+SIGMAS = 4.5
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 class WordHashes(dict):
@@ -124,6 +128,18 @@ def band_keys(times: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bit_sketches(times: np.ndarray) -> np.ndarray:
+    """One bit per place: equal places agree, others by chance; PLACES / 64 longs per text."""
+    bits = (mix64(times.view(np.uint64) >> np.uint64(12)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def least_agreement(threshold: float) -> int:
+    """Bits in which a pair at the threshold agrees, but for one in 300,000."""
+    p = (1.0 + threshold) / 2.0
+    return int(PLACES * p - SIGMAS * np.sqrt(PLACES * p * (1.0 - p)))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -138,6 +154,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x, _ in counted])
             filled = np.flatnonzero(sizes)
             bands: list[np.ndarray | None] = [None] * (b - a)
+            sketches: list[np.ndarray | None] = [None] * (b - a)
             if len(filled):
                 times = signatures(
                     np.concatenate([counted[i][0] for i in filled]),
@@ -145,16 +162,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.repeat(np.arange(len(filled)), sizes[filled]),
                     len(filled),
                 )
-                for i, row in zip(filled.tolist(), band_keys(times), strict=True):
-                    bands[i] = row
+                found = zip(filled.tolist(), band_keys(times), bit_sketches(times), strict=True)
+                for i, row, bits in found:
+                    bands[i], sketches[i] = row, bits
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
                     pa.array(keys, pa.binary()),
                     pa.array([int(c.sum()) for _, c in counted], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                ["row_no", "text_key", "weight", "bands"],
+                ["row_no", "text_key", "weight", "bands", "sketch"],
             )
 
 
@@ -194,11 +213,12 @@ def near_duplicates(
     least key (nulls last, then the first in the input). `row_no` may name a column of
     distinct longs; otherwise rows are numbered as they lie in the input.
     """
+    bound_batches(docs.sparkSession)
     number = F.col(row_no) if row_no else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row_no"), F.col(key).alias("key"), F.col(text).alias("text"))
     signed = stored(
         rows.select("row_no", "text").mapInArrow(
-            _signed, "row_no long, text_key binary, weight long, bands array<long>"
+            _signed, "row_no long, text_key binary, weight long, bands array<long>, sketch array<long>"
         ),
         "signatures",
     )
@@ -206,10 +226,10 @@ def near_duplicates(
     nodes = stored(
         signed.where("bands IS NOT NULL").join(
             reps.select(F.col("node").alias("row_no")), "row_no", "left_semi"
-        ).select(F.col("row_no").alias("node"), "weight", "bands"),
+        ).select(F.col("row_no").alias("node"), "weight", "bands", "sketch"),
         "nodes",
     )
-    banded = nodes.select("node", "weight", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"))
     least = least.where("n > 1").drop("n")
     members = stored(banded.join(least, "band"), "members")
@@ -219,12 +239,11 @@ def near_duplicates(
     wanted = members.select("node").distinct()
     candidates = rows.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = stored(candidates.mapInArrow(_multisets, "node long, items array<int>"), "multisets")
-    links = stored(_verified(first, sets, threshold), "links")
-    found = components(links)
-    more = stored(_across(members, found, threshold), "pairs")
-    if more.limit(1).count():
-        links = links.unionByName(_verified(more, sets, threshold))
-        found = components(links)
+    found = components(_verified(first, sets, threshold))
+    pairs = stored(_across(_mixed_bands(members, found, nodes, sets), threshold), "pairs")
+    if pairs.limit(1).count():
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(_verified(pairs, sets, threshold).unionByName(known))
 
     # rows -> equal texts -> components
     placed = rows.select("row_no", "key").join(signed.select("row_no", "text_key"), "row_no")
@@ -241,16 +260,46 @@ def near_duplicates(
     )
 
 
-def _across(members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a band in different components, one of them not that of its least node."""
+def _mixed_bands(members: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of the bands whose nodes are in more than one component.
+
+    c is a node's component, base that of the band's least node; weight and the longs of
+    the sketch come along, and common, the shingles that another of these nodes has too.
+    """
     place = found.withColumnRenamed("component", "c")
     known = members.join(place, "node", "left").withColumn("c", F.coalesce("c", "node"))
     base = place.select(F.col("node").alias("least"), F.col("c").alias("base"))
     known = known.join(base, "least", "left").withColumn("base", F.coalesce("base", "least"))
-    strays = known.where("c <> base").select(
-        "band", F.col("node").alias("s"), F.col("c").alias("sc"), F.col("weight").alias("sw")
+    mixed = known.where("c <> base").select("band").distinct()
+    longs = [F.col("sketch")[i].alias(f"k{i}") for i in range(PLACES // 64)]
+    known = known.join(mixed, "band", "left_semi").join(nodes.select("node", "weight", *longs), "node")
+    known = stored(known, "mixed-bands")
+    inside = sets.join(known.select("node").distinct(), "node", "left_semi")
+    alone = (
+        inside.select("node", F.explode("items").alias("item"))
+        .groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    )
+    common = F.col("weight") - F.coalesce("alone", F.lit(0))
+    return stored(known.join(alone, "node", "left").withColumn("common", common).drop("alone"), "mixed-bands")
+
+
+def _may_link(threshold: float):
+    """By size, common shingles and sketch; the other row's columns begin with s_."""
+    total, most = F.col("weight") + F.col("s_weight"), F.least("common", "s_common")
+    differ = sum(F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"s_k{i}"))) for i in range(PLACES // 64))
+    return (
+        (F.col("c") != F.col("s_c"))
+        # Neither text can share more than what it has in common with any other.
+        & (most >= threshold * (total - most))
+        & (differ <= PLACES - least_agreement(threshold))
     )
-    near = (F.col("weight") >= threshold * F.col("sw")) & (F.col("sw") >= threshold * F.col("weight"))
-    new = (F.col("c") != F.col("sc")) & ((F.col("c") == F.col("base")) | (F.col("node") < F.col("s")))
-    pairs = known.join(strays, "band").where(near & new)
-    return pairs.select(F.greatest("node", "s").alias("a"), F.least("node", "s").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a band in different components, one not in that of its least node."""
+    strays = mixed.where("c <> base")
+    strays = strays.select(*(F.col(x).alias(f"s_{x}") for x in strays.columns))
+    once = (F.col("c") == F.col("base")) | (F.col("node") < F.col("s_node"))
+    met = mixed.join(strays, (F.col("band") == F.col("s_band")) & once & _may_link(threshold))
+    return met.select(F.greatest("node", "s_node").alias("a"), F.least("node", "s_node").alias("b")).distinct()

@@ -11,6 +11,7 @@ from demandlens.session import shared_dir
 
 #: Characters of text that a task holds as Python words at once (a longer text stands alone).
 SLICE_CHARS = 2_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,15 @@ def stored(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that Python gets are bounded in bytes, unless the user has chosen a bound.
+
+    The default counts rows, and ten thousand texts may be of any size.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

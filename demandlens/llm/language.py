@@ -23,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import slices
+from demandlens.llm.common import bound_batches, slices
 from demandlens.llm.sentencepiece_codec import _typed
 
 FEATURES = 1 << 14
@@ -138,6 +138,7 @@ class Identifier:
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Identifier:
     """Count the n-grams of every row per language; all rows are used."""
+    bound_batches(rows.sparkSession)
     usable = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
@@ -155,6 +156,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Identifier
 def identify(text: Column, model: Identifier) -> Column:
     """struct<lang, score, is_ambiguous> of each text."""
 
+    bound_batches(SparkSession.active())
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts, out = batch.to_pylist(), []

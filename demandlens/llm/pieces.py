@@ -26,7 +26,7 @@ NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Words a task remembers with their pieces.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -82,14 +82,20 @@ class PieceModel:
         if any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("pieces that go on over a space are not supported")
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0)
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._known_seams: dict[str, bool] = {}
+        #: The two pieces that a longer piece is merged from last, if merging makes it.
+        self.halves: dict[str, tuple[str, str]] = {}
         lengths: dict[str, set[int]] = {}
         for x in self.ids:
-            if len(x) > 1 and (self.kind == UNIGRAM or self.merge(x) == [x]):
-                lengths.setdefault(x[-2:], set()).add(len(x))
+            if len(x) == 1:
+                continue
+            parts = self.merge(x, stop=2)
+            if self.kind == BPE and (len(parts) > 2 or len(self.merge(x)) > 1):
+                continue
+            self.halves[x] = tuple(parts)
+            lengths.setdefault(x[-2:], set()).add(len(x))
         #: Lengths of the pieces that end in two given characters, longest first.
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
-        self.whole = {x for x in self.ids if len(x) == 1 or self.merge(x) == [x]}
 
     def _add(self, piece: dict) -> None:
         text, kind, i = piece[1].decode(), piece.get(3, NORMAL), len(self.pieces)
@@ -126,10 +132,10 @@ class PieceModel:
 
     # -- byte-pair merges --
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, stop: int = 1) -> list[str]:
         """Pieces by merging neighbours, highest score first, leftmost on ties."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 found = self.ids.get(parts[i] + parts[i + 1])
@@ -140,16 +146,42 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """The parts of a piece at one side as it grows, with the score that ends each."""
+        chain = [(piece, float("-inf"))]
+        while len(piece) > 1 and piece in self.halves:
+            score, piece = self.scores[self.ids[piece]], self.halves[piece][side]
+            chain.append((piece, score))
+        return chain
+
     def stable(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both gives just these two pieces."""
-        key = (left, right)
-        found = self._stable.get(key)
+        """Whether merging the characters of both gives just these two pieces.
+
+        It does unless, while both grow, the parts at the seam are a piece themselves that
+        is merged before the next merge on either side. Runs of spaces, whose scores
+        are equal, are merged in full.
+        """
+        key = f"{left}\0{right}"
+        found = self._known_seams.get(key)
         if found is None:
-            if len(self._stable) > 2_000_000:
-                self._stable.clear()
-            found = self._stable[key] = self.merge(left + right) == [left, right]
+            if len(self._known_seams) > REMEMBERED:
+                self._known_seams.clear()
+            if left[-1] == right[0] == SPACE:
+                found = self.merge(left + right) == [left, right]
+            else:
+                found = not self._crossed(left, right)
+            self._known_seams[key] = found
         return found
 
+    def _crossed(self, left: str, right: str) -> bool:
+        ids, scores, others = self.ids, self.scores, self._edge(right, 0)
+        for a, a_ends in self._edge(left, 1):
+            for b, b_ends in others:
+                found = ids.get(a + b)
+                if found is not None and scores[found] > a_ends and scores[found] >= b_ends:
+                    return True
+        return False
+
     # -- forward states --
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], list[int]]]:
@@ -157,28 +189,46 @@ class PieceModel:
 
         The lists are the walk's own and change with the next word.
         """
-        step = self._best if self.kind == UNIGRAM else self._merged
         last, score, count, before = [""], [0.0], [0], ""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], score[shared + 1 :], count[shared + 1 :]
+            if self.kind == BPE:
+                self._merged(word, shared, last)
+            else:
+                for i in range(shared + 1, len(word) + 1):
+                    piece, value = self._best(word, i, last, score)
+                    last.append(piece)
+                    score.append(value)
             for i in range(shared + 1, len(word) + 1):
-                piece, value = step(word, i, last, score)
-                last.append(piece)
-                score.append(value)
+                piece = last[i]
                 ids = 1 if piece in self.ids else len(self.ids_of(piece))
                 count.append(count[i - len(piece)] + ids)
             before = word
             yield word, last, count
 
-    def _merged(self, word: str, i: int, last: list[str], _: list[float]) -> tuple[str, float]:
-        for size in self.lengths.get(word[max(0, i - 2) : i], ()):
-            piece = word[i - size : i] if size <= i else ""
-            if piece in self.whole and (size == i or self.stable(last[i - size], piece)):
-                return piece, 0.0
-        return word[i - 1], 0.0
+    def _merged(self, word: str, shared: int, last: list[str]) -> None:
+        """Appends the last piece of every longer prefix of the word."""
+        lengths, halves, seams = self.lengths.get, self.halves, self._known_seams
+        for i in range(shared + 1, len(word) + 1):
+            chosen = word[i - 1]
+            for size in lengths(word[i - 2 : i], ()) if i > 1 else ():
+                if size > i:
+                    continue
+                piece = word[i - size : i]
+                if piece not in halves:
+                    continue
+                if size < i:
+                    fits = seams.get(f"{last[i - size]}\0{piece}")
+                    if fits is None:
+                        fits = self.stable(last[i - size], piece)
+                    if not fits:
+                        continue
+                chosen = piece
+                break
+            last.append(chosen)
 
     def _best(self, word: str, i: int, last: list[str], score: list[float]) -> tuple[str, float]:
         piece, best = "", 0.0

@@ -18,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import slices
+from demandlens.llm.common import WordTable, bound_batches, slices
 from demandlens.llm.pieces import REMEMBERED, SPACE, PieceModel
 
 __all__ = ["decode", "encode"]
@@ -32,29 +32,22 @@ def _model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-class WordTable(dict):
-    """What is known of words; those that are new are walked together."""
-
-    def __init__(self, walk):
-        super().__init__()
-        self.walk = walk
-
-    def learn(self, wanted: set[str]) -> None:
-        new = wanted - self.keys()
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = wanted
-        self.update(self.walk(new))
+@lru_cache(maxsize=1)
+def _encoded_words(path: str) -> WordTable:
+    """One per Python worker: words and their ids as bytes."""
+    model = _model(path)
+    return WordTable(
+        lambda words: ((w, np.array(x, "<i4").tobytes()) for w, x in model.encode_words(words)),
+        REMEMBERED,
+    )
 
 
 def encode(text: Column, model_path: str) -> Column:
     """The ids of a text as array<int>."""
+    bound_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(model_path)
-        known = WordTable(
-            lambda words: ((w, np.array(x, "<i4").tobytes()) for w, x in model.encode_words(words))
-        )
+        model, known = _model(model_path), _encoded_words(model_path)
         for batch in batches:
             texts = batch.to_pylist()
             made = []
@@ -72,6 +65,7 @@ def encode(text: Column, model_path: str) -> Column:
 
 def decode(ids: Column, model_path: str) -> Column:
     """The text of an array of ids."""
+    bound_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(model_path)

@@ -10,23 +10,32 @@ Defined cases: a null text counts 0, as does an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import slices
-from demandlens.llm.sentencepiece_codec import WordTable, _model, _typed
+from demandlens.llm.common import WordTable, bound_batches, slices
+from demandlens.llm.pieces import REMEMBERED
+from demandlens.llm.sentencepiece_codec import _model, _typed
+
+
+@lru_cache(maxsize=1)
+def _counted_words(path: str) -> WordTable:
+    """One per Python worker: words and their numbers of ids."""
+    model = _model(path)
+    return WordTable(
+        lambda words: ((word, count[len(word)]) for word, _, count in model.walk(words)), REMEMBERED
+    )
 
 
 def token_count(text: Column, model_path: str) -> Column:
     """The number of ids of a text as long."""
+    bound_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(model_path)
-        known = WordTable(
-            lambda words: ((word, count[len(word)]) for word, _, count in model.walk(words))
-        )
+        model, known = _model(model_path), _counted_words(model_path)
         for batch in batches:
             texts = batch.to_pylist()
             totals: list[int] = []

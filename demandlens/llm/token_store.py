@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import WordTable, mix64, shuffle_partitions, slices
+from demandlens.llm.common import WordTable, bound_batches, mix64, shuffle_partitions, slices
 
 MAGIC = 0x31534449
 TRAILER = 32
@@ -265,6 +265,7 @@ class TokenStore:
         the input, so a key that many rows share still spreads over shards. The index
         shuffles one narrow row per key and shard.
         """
+        bound_batches(self.spark)
         n = shards or shuffle_partitions(self.spark)
         rows = docs.select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("text"))
         rows = rows.withColumn("tie", F.monotonically_increasing_id())
