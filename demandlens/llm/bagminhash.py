@@ -53,7 +53,7 @@ PLACES = BANDS * ROWS
 SLICE = 300_000
 SIGMAS = 4.5
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 class WordHashes(dict):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from demandlens.session import shared_dir
 
 #: Characters of text that a task holds as Python words at once (a longer text stands alone).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -161,7 +161,7 @@ def identify(text: Column, model: Identifier) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts, out = batch.to_pylist(), []
-            for a, b in slices(texts, 500_000):
+            for a, b in slices(texts, 250_000):
                 for at in range(a, b, 200):
                     out += model.predict(texts[at : min(b, at + 200)])
             lang, score, unsure = zip(*out, strict=True) if out else ((), (), ())

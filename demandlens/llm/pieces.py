@@ -26,7 +26,7 @@ NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Words a task remembers with their pieces.
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
