@@ -16,12 +16,15 @@ Search. Places are banded (64 bands of 8: a pair at 0.8 is missed with probabili
 one at 0.85 with 2e-9), texts with equal words are one node, and
 
 1. each node is verified against the least node it shares a band with;
-2. in bands whose nodes are then in more than one component, the nodes outside that of the
-   band's least node are compared with all of the band's nodes of other components. A pair
-   can share no more than each has in common with any of these nodes, which rules out
-   copies that were changed in too many places of their own; and it must agree in enough
-   of one bit per place (a pair at 0.8 does not with probability 4e-6). What is left is
-   verified.
+2. in bands whose nodes are then in more than one component, each node is verified against
+   the plainest node it meets there: the one with the greatest share of shingles that other
+   of these nodes have too, which lies nearest to what the copies were made from. Those
+   still outside a band's largest component meet one node of it per band, picked by hash;
+3. in bands that are still mixed, the nodes outside the band's largest component are
+   compared with all of the band's nodes of other components. A pair can share no more than
+   each has in common with any of these nodes, nor what of one falls where a bit map of the
+   other is empty (both bounds are exact); and it must agree in enough of one bit per place
+   (a pair at 0.8 does not with probability 4e-6). What is left is verified.
 
 So a group of thousands of near copies costs about one verification each. Verification
 compares the multisets (32-bit shingle hashes).
@@ -50,6 +53,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 64, 8
 PLACES = BANDS * ROWS
+#: Bits of the map of a text's shingles; with 2,048 the pair step took six times as long.
+MAP_BITS = 1024
 SLICE = 300_000
 SIGMAS = 4.5
 _WORD = re.compile(r"\w+")
@@ -182,15 +187,22 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in slices(texts, SLICE):
-            out = []
+            out, maps = [], []
             for text in texts[a:b]:
                 h = np.sort(hashes.shingles(_WORD.findall((text or "").lower())))
                 # The n-th occurrence of a shingle is an element of its own.
                 first = np.searchsorted(h, h)
-                out.append((mix64(h + mix64(np.arange(len(h)) - first)) >> np.uint64(32)).astype(np.int64))
+                out.append((mix64(h + mix64(np.arange(len(h)) - first)) >> np.uint64(32)).astype(np.uint32))
+                there = np.zeros(MAP_BITS, np.uint8)
+                there[out[-1] % MAP_BITS] = 1
+                maps.append(np.packbits(there).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([x.astype(np.uint32).view(np.int32) for x in out], pa.list_(pa.int32()))],
-                ["node", "items"],
+                [
+                    batch.column(0).slice(a, b - a),
+                    pa.array([x.view(np.int32) for x in out], pa.list_(pa.int32())),
+                    pa.array(maps, pa.list_(pa.int64())),
+                ],
+                ["node", "items", "map"],
             )
 
 
@@ -238,12 +250,17 @@ def near_duplicates(
     first = first.withColumnRenamed("node", "a")
     wanted = members.select("node").distinct()
     candidates = rows.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = stored(candidates.mapInArrow(_multisets, "node long, items array<int>"), "multisets")
+    sets = stored(candidates.mapInArrow(_multisets, "node long, items array<int>, map array<long>"), "multisets")
     found = components(_verified(first, sets, threshold))
-    pairs = stored(_across(_mixed_bands(members, found, nodes, sets), threshold), "pairs")
-    if pairs.limit(1).count():
-        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components(_verified(pairs, sets, threshold).unionByName(known))
+    mixed = stored(_mixed_bands(members.select("node", "band"), found), "mixed-bands")
+    if mixed.limit(1).count():
+        facts = stored(_facts(mixed, nodes, sets), "facts")
+        found = _joined(found, _to_plainest(mixed, facts), sets, threshold)
+        mixed = stored(_mixed_bands(mixed.select("node", "band"), found), "mixed-bands")
+        found = _joined(found, _to_picked(mixed, facts, threshold), sets, threshold)
+        mixed = _mixed_bands(mixed.select("node", "band"), found)
+        pairs = stored(_across(mixed, facts, threshold), "pairs")
+        found = _joined(found, pairs, sets, threshold)
 
     # rows -> equal texts -> components
     placed = rows.select("row_no", "key").join(signed.select("row_no", "text_key"), "row_no")
@@ -260,44 +277,87 @@ def near_duplicates(
     )
 
 
-def _mixed_bands(members: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of the bands whose nodes are in more than one component.
+def _joined(found: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The components, with those joined that a verified pair links."""
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(_verified(pairs, sets, threshold).unionByName(known))
+
+
+def _mixed_bands(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, band, c, base) of the bands whose nodes are in more than one component.
 
-    c is a node's component, base that of the band's least node; weight and the longs of
-    the sketch come along, and common, the shingles that another of these nodes has too.
+    c is a node's component, base the component with most of the band's nodes.
     """
     place = found.withColumnRenamed("component", "c")
     known = members.join(place, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    base = place.select(F.col("node").alias("least"), F.col("c").alias("base"))
-    known = known.join(base, "least", "left").withColumn("base", F.coalesce("base", "least"))
-    mixed = known.where("c <> base").select("band").distinct()
-    longs = [F.col("sketch")[i].alias(f"k{i}") for i in range(PLACES // 64)]
-    known = known.join(mixed, "band", "left_semi").join(nodes.select("node", "weight", *longs), "node")
-    known = stored(known, "mixed-bands")
-    inside = sets.join(known.select("node").distinct(), "node", "left_semi")
+    largest = (
+        known.groupBy("band", "c").agg(F.count("*").alias("n"))
+        .groupBy("band").agg(F.max(F.struct("n", "c")).getField("c").alias("base"), F.count("*").alias("of"))
+        .where("of > 1").drop("of")
+    )
+    return known.join(largest, "band").select("node", "band", "c", "base")
+
+
+def _facts(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per node of mixed bands: weight, the longs of sketch and map, and common.
+
+    common counts the shingles that another of these nodes has too.
+    """
+    inside = sets.join(mixed.select("node").distinct(), "node", "left_semi")
     alone = (
         inside.select("node", F.explode("items").alias("item"))
         .groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
         .groupBy("node").agg(F.count("*").alias("alone"))
     )
+    longs = [F.col("sketch")[i].alias(f"k{i}") for i in range(PLACES // 64)]
+    longs += [F.col("map")[i].alias(f"m{i}") for i in range(MAP_BITS // 64)]
     common = F.col("weight") - F.coalesce("alone", F.lit(0))
-    return stored(known.join(alone, "node", "left").withColumn("common", common).drop("alone"), "mixed-bands")
+    found = inside.select("node", "map").join(nodes.select("node", "weight", "sketch"), "node")
+    return found.join(alone, "node", "left").select("node", "weight", common.alias("common"), *longs)
+
+
+def _to_plainest(mixed: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): each node and the plainest node that it shares a mixed band with."""
+    plain = facts.select("node", (F.col("common") / F.col("weight")).alias("share"))
+    known = mixed.join(plain, "node")
+    top = known.groupBy("band").agg(F.max(F.struct("share", "node", "c")).alias("top"))
+    met = known.join(top, "band").where(F.col("c") != F.col("top.c"))
+    return met.groupBy(F.col("node").alias("a")).agg(F.max("top").getField("node").alias("b"))
+
+
+def _to_picked(mixed: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): nodes outside a band's largest component, and one node of it per band."""
+    inside = mixed.where("c = base").groupBy("band").agg(
+        F.max(F.struct(F.xxhash64("node", "band").alias("mark"), "node")).getField("node").alias("s_node")
+    )
+    met = mixed.where("c <> base").join(inside, "band")
+    met = met.select("node", "c", "s_node", F.col("base").alias("s_c")).distinct().join(facts, "node")
+    other = facts.select(*(F.col(x).alias(f"s_{x}") for x in facts.columns))
+    likely = met.join(other, "s_node").where(_may_link(threshold))
+    return likely.select(F.col("node").alias("a"), F.col("s_node").alias("b"))
 
 
 def _may_link(threshold: float):
-    """By size, common shingles and sketch; the other row's columns begin with s_."""
-    total, most = F.col("weight") + F.col("s_weight"), F.least("common", "s_common")
-    differ = sum(F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"s_k{i}"))) for i in range(PLACES // 64))
+    """By common shingles, sketch and map; the other row's columns begin with s_."""
+    # Two texts are linked when they share at least this many shingles.
+    enough = (F.col("weight") + F.col("s_weight")) * (threshold / (1.0 + threshold)) - 1e-6
+    count = lambda x, y, n, by: sum(
+        F.bit_count(by(F.col(f"{x}{i}"), F.col(f"{y}{i}"))) for i in range(n // 64)
+    )
+    differ = count("k", "s_k", PLACES, lambda x, y: x.bitwiseXOR(y))
+    lacks = lambda x, y: x.bitwiseAND(F.bitwise_not(y))
     return (
         (F.col("c") != F.col("s_c"))
-        # Neither text can share more than what it has in common with any other.
-        & (most >= threshold * (total - most))
+        & (F.col("common") >= enough) & (F.col("s_common") >= enough)
         & (differ <= PLACES - least_agreement(threshold))
+        & (F.col("weight") - count("m", "s_m", MAP_BITS, lacks) >= enough)
+        & (F.col("s_weight") - count("s_m", "m", MAP_BITS, lacks) >= enough)
     )
 
 
-def _across(mixed: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a band in different components, one not in that of its least node."""
+def _across(mixed: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a band in different components, one not in the band's largest."""
+    mixed = mixed.join(facts, "node")
     strays = mixed.where("c <> base")
     strays = strays.select(*(F.col(x).alias(f"s_{x}") for x in strays.columns))
     once = (F.col("c") == F.col("base")) | (F.col("node") < F.col("s_node"))
