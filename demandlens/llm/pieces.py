@@ -25,8 +25,10 @@ from collections.abc import Iterable, Iterator
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
-#: Words a task remembers with their pieces.
-REMEMBERED = 60_000
+#: Words a task remembers with their pieces; about 120 bytes each, held twice at most.
+REMEMBERED = 200_000
+#: Seams of pieces and steps between states that a model remembers.
+REMEMBERED_SEAMS = 300_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -82,7 +84,6 @@ class PieceModel:
         if any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("pieces that go on over a space are not supported")
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0)
-        self._known_seams: dict[str, bool] = {}
         #: The two pieces that a longer piece is merged from last, if merging makes it.
         self.halves: dict[str, tuple[str, str]] = {}
         lengths: dict[str, set[int]] = {}
@@ -96,6 +97,24 @@ class PieceModel:
             lengths.setdefault(x[-2:], set()).add(len(x))
         #: Lengths of the pieces that end in two given characters, longest first.
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        self._seams: dict[str, dict[str, bool]] = {x: {} for x in self.halves}
+        self._edges: tuple[dict, dict] = ({}, {})
+        self._n_seams = self._n_steps = 0
+        self._alphabet = set("".join(self.halves))
+        self._states = self._automaton()
+
+    def _automaton(self) -> dict[str, dict]:
+        """States by their text: the longest start of a piece that ends a prefix.
+
+        A state holds the pieces that end there, longest first, each with its length and
+        known seams (key 0), its text (key 1), and the next states by character.
+        """
+        starts = {x[:i] for x in self.halves for i in range(1, len(x) + 1)} | {""}
+        states = {}
+        for text in starts:
+            ends = [text[i:] for i in range(len(text) - 1) if text[i:] in self.halves]
+            states[text] = {0: tuple((len(x), x, self._seams[x]) for x in ends), 1: text}
+        return states
 
     def _add(self, piece: dict) -> None:
         text, kind, i = piece[1].decode(), piece.get(3, NORMAL), len(self.pieces)
@@ -148,10 +167,14 @@ class PieceModel:
 
     def _edge(self, piece: str, side: int) -> list[tuple[str, float]]:
         """The parts of a piece at one side as it grows, with the score that ends each."""
-        chain = [(piece, float("-inf"))]
-        while len(piece) > 1 and piece in self.halves:
-            score, piece = self.scores[self.ids[piece]], self.halves[piece][side]
-            chain.append((piece, score))
+        chain = self._edges[side].get(piece)
+        if chain is None:
+            chain, part = [(piece, float("-inf"))], piece
+            while len(part) > 1 and part in self.halves:
+                score, part = self.scores[self.ids[part]], self.halves[part][side]
+                chain.append((part, score))
+            if piece in self.ids:
+                self._edges[side][piece] = chain
         return chain
 
     def stable(self, left: str, right: str) -> bool:
@@ -161,16 +184,20 @@ class PieceModel:
         is merged before the next merge on either side. Runs of spaces, whose scores
         are equal, are merged in full.
         """
-        key = f"{left}\0{right}"
-        found = self._known_seams.get(key)
+        known = self._seams.get(right)
+        found = known.get(left) if known is not None else None
         if found is None:
-            if len(self._known_seams) > REMEMBERED:
-                self._known_seams.clear()
             if left[-1] == right[0] == SPACE:
                 found = self.merge(left + right) == [left, right]
             else:
                 found = not self._crossed(left, right)
-            self._known_seams[key] = found
+            if known is not None:
+                if self._n_seams >= REMEMBERED_SEAMS:
+                    for seams in self._seams.values():
+                        seams.clear()
+                    self._n_seams = 0
+                known[left] = found
+                self._n_seams += 1
         return found
 
     def _crossed(self, left: str, right: str) -> bool:
@@ -184,52 +211,74 @@ class PieceModel:
 
     # -- forward states --
 
-    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], list[int]]]:
-        """Each word with the last piece and the number of ids of its every prefix.
-
-        The lists are the walk's own and change with the next word.
-        """
-        last, score, count, before = [""], [0.0], [0], ""
+    def _paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], int]]:
+        """Each word with the last piece of its every prefix, and how much it shares."""
+        last, score, state, before = [""], [0.0], [self._states[""]], ""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :], count[shared + 1 :]
+            del last[shared + 1 :]
             if self.kind == BPE:
-                self._merged(word, shared, last)
+                del state[shared + 1 :]
+                self._merged(word, shared, last, state)
             else:
+                del score[shared + 1 :]
                 for i in range(shared + 1, len(word) + 1):
                     piece, value = self._best(word, i, last, score)
                     last.append(piece)
                     score.append(value)
+            before = word
+            yield word, last, shared
+
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], list[int]]]:
+        """Each word with the last piece and the number of ids of its every prefix.
+
+        The lists are the walk's own and change with the next word.
+        """
+        count, ids = [0], self.ids
+        for word, last, shared in self._paths(words):
+            del count[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 piece = last[i]
-                ids = 1 if piece in self.ids else len(self.ids_of(piece))
-                count.append(count[i - len(piece)] + ids)
-            before = word
+                count.append(count[i - len(piece)] + (1 if piece in ids else len(self.ids_of(piece))))
             yield word, last, count
 
-    def _merged(self, word: str, shared: int, last: list[str]) -> None:
-        """Appends the last piece of every longer prefix of the word."""
-        lengths, halves, seams = self.lengths.get, self.halves, self._known_seams
-        for i in range(shared + 1, len(word) + 1):
-            chosen = word[i - 1]
-            for size in lengths(word[i - 2 : i], ()) if i > 1 else ():
-                if size > i:
-                    continue
-                piece = word[i - size : i]
-                if piece not in halves:
-                    continue
-                if size < i:
-                    fits = seams.get(f"{last[i - size]}\0{piece}")
+    def _merged(self, word: str, shared: int, last: list[str], state: list[dict]) -> None:
+        """Appends the last piece and the state of every longer prefix of the word."""
+        now = state[shared]
+        for i in range(shared, len(word)):
+            chosen = word[i]
+            now = now.get(chosen) or self._step(now, chosen)
+            state.append(now)
+            for size, piece, seams in now[0]:
+                if size <= i:
+                    left = last[i + 1 - size]
+                    fits = seams.get(left)
                     if fits is None:
-                        fits = self.stable(last[i - size], piece)
+                        fits = self.stable(left, piece)
                     if not fits:
                         continue
                 chosen = piece
                 break
             last.append(chosen)
 
+    def _step(self, state: dict, char: str) -> dict:
+        """The state after one more character."""
+        text = state[1] + char
+        while text not in self._states:
+            text = text[1:]
+        if char in self._alphabet:
+            if self._n_steps >= REMEMBERED_SEAMS:
+                for x in self._states.values():
+                    ends, own = x[0], x[1]
+                    x.clear()
+                    x[0], x[1] = ends, own
+                self._n_steps = 0
+            state[char] = self._states[text]
+            self._n_steps += 1
+        return self._states[text]
+
     def _best(self, word: str, i: int, last: list[str], score: list[float]) -> tuple[str, float]:
         piece, best = "", 0.0
         for size in (*self.lengths.get(word[max(0, i - 2) : i], ()), 1):
@@ -243,9 +292,16 @@ class PieceModel:
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word with its ids."""
-        for word, last, _ in self.walk(words):
-            parts, i = [], len(word)
+        known = self.ids.get
+        for word, last, _ in self._paths(words):
+            out, i = [], len(word)
             while i:
-                parts.append(last[i])
-                i -= len(last[i])
-            yield word, [x for part in reversed(parts) for x in self.ids_of(part)]
+                piece = last[i]
+                found = known(piece)
+                if found is None:
+                    out += reversed(self.ids_of(piece))
+                else:
+                    out.append(found)
+                i -= len(piece)
+            out.reverse()
+            yield word, out

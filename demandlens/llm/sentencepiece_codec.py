@@ -13,6 +13,7 @@ U+FFFD, and fails on ids that the model does not have.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ def _encoded_words(path: str) -> WordTable:
     """One per Python worker: words and their ids as bytes."""
     model = _model(path)
     return WordTable(
-        lambda words: ((w, np.array(x, "<i4").tobytes()) for w, x in model.encode_words(words)),
+        lambda words: ((w, array("i", x).tobytes()) for w, x in model.encode_words(words)),
         REMEMBERED,
     )
 
