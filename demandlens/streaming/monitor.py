@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,17 +30,37 @@ def search_rate(searches: DataFrame, time: str = "received_at") -> DataFrame:
     )
 
 
+def every_minute(rate: DataFrame) -> DataFrame:
+    """A search rate with its silent minutes as zeroes, from its first minute to its last."""
+    ends = rate.agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
+    ticks = ends.select(
+        F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {TICK_SECONDS} SECONDS"))).alias(
+            "minute"
+        )
+    )
+    return ticks.join(rate, "minute", "left").na.fill(0)
+
+
 def silence_periods(
-    searches: DataFrame, tolerance: int = SILENCE_TOLERANCE_TICKS, time: str = "received_at"
+    searches: DataFrame,
+    tolerance: int = SILENCE_TOLERANCE_TICKS,
+    time: str = "received_at",
+    until: datetime | None = None,
 ) -> DataFrame:
     """Stretches of at least ``tolerance`` ticks in a row without any search.
 
+    ``until`` ends the report: searches from that minute on are left out, and a silence that
+    lasts up to it is one of the stretches.
     Only the distinct minutes with traffic are compared, each with the one
     before it. That is done within each day; the last minute of the day before
     is carried over from one row per day.
     """
     minute = F.date_trunc("MINUTE", time).cast("timestamp_ntz")
     busy = searches.select(minute.alias("minute")).distinct()
+    if until is not None:
+        now = F.date_trunc("MINUTE", F.lit(until).cast("timestamp_ntz")).cast("timestamp_ntz")
+        end = searches.sparkSession.range(1).select(now.alias("minute"))
+        busy = busy.where(F.col("minute") < now).unionByName(end)
     busy = busy.withColumn("day", F.to_date("minute"))
     per_day = busy.groupBy("day").agg(F.max("minute").alias("last_minute"))
     carried = per_day.select(
@@ -73,10 +94,11 @@ def ingest_statistics(observed: DataFrame) -> DataFrame:
 
 
 class SilenceWatchdog(StreamingQueryListener):
-    """Calls back once a stream made no progress for several ticks in a row.
+    """Calls back once a stream had no rows for several minutes in a row.
 
-    Register with ``spark.streams.addListener``. Every report of a trigger counts
-    as a tick, and any row resets the count.
+    Register with ``spark.streams.addListener``. Whole minutes since the last rows are
+    counted by the times of the reports, however often a stream reports; each further
+    silent minute calls back once. Every stream has a count of its own.
     """
 
     def __init__(
@@ -84,26 +106,36 @@ class SilenceWatchdog(StreamingQueryListener):
     ) -> None:
         self.on_silence = on_silence
         self.tolerance = tolerance
-        self.silent_ticks = 0
-
-    def record(self, rows: float) -> bool:
-        """Take one tick; true when the stream has been silent for too long."""
-        self.silent_ticks = 0 if rows > 0 else self.silent_ticks + 1
-        return self.silent_ticks >= self.tolerance
+        self._last_rows: dict[str, datetime] = {}
+        self._told: dict[str, int] = {}
+
+    def record(self, rows: float, at: datetime, stream: str = "") -> bool:
+        """Take one report; true when it is the first of a minute that is silent too long."""
+        if rows > 0 or stream not in self._last_rows:
+            self._last_rows[stream], self._told[stream] = at, 0
+            return False
+        ticks = int((at - self._last_rows[stream]).total_seconds() // TICK_SECONDS)
+        if ticks < self.tolerance or ticks <= self._told[stream]:
+            return False
+        self._told[stream] = ticks
+        self.on_silence(ticks)
+        return True
 
     def onQueryStarted(self, event) -> None:
-        self.silent_ticks = 0
+        self._last_rows.pop(str(event.runId), None)
+        self.record(0, datetime.fromisoformat(event.timestamp), str(event.runId))
 
     def onQueryProgress(self, event) -> None:
-        if self.record(event.progress.numInputRows):
-            self.on_silence(self.silent_ticks)
+        progress = event.progress
+        at = datetime.fromisoformat(progress.timestamp)
+        self.record(progress.numInputRows, at, str(progress.runId))
 
     def onQueryIdle(self, event) -> None:
-        if self.record(0):
-            self.on_silence(self.silent_ticks)
+        self.record(0, datetime.fromisoformat(event.timestamp), str(event.runId))
 
     def onQueryTerminated(self, event) -> None:
-        self.silent_ticks = 0
+        self._last_rows.pop(str(event.runId), None)
+        self._told.pop(str(event.runId), None)
 
 
 class LossCounters(StreamingQueryListener):

@@ -585,6 +585,19 @@ SELECT {time_text("first_minute")} AS silent_from,
     {time_text("last_minute + INTERVAL 1 MINUTE")} AS silent_until, silent_ticks,
     {time_text("first_minute + INTERVAL 5 MINUTE")} AS restart_due_at
 FROM runs WHERE silent_ticks >= 5"""
+    out["silence_so_far"] = out["silence_periods"].replace(
+        "(SELECT date_trunc('minute', max(ts)) FROM events)",
+        "(SELECT date_trunc('minute', max(ts)) + INTERVAL 59 MINUTES FROM events)",
+    )
+    out["search_rate_every_minute"] = f"""
+WITH ticks AS (
+    SELECT unnest(generate_series(
+        (SELECT date_trunc('minute', min(ts)) FROM events),
+        (SELECT date_trunc('minute', max(ts)) FROM events), INTERVAL 1 MINUTE)) AS minute
+)
+SELECT {time_text("minute")} AS minute, count(ts) AS received,
+    round(count(ts) / 60, 6) AS searches_per_second
+FROM ticks LEFT JOIN events ON date_trunc('minute', ts) = minute GROUP BY minute"""
     out["ingest_statistics"] = f"""{lines}
 SELECT count(*) AS received,
     count(DISTINCT (received_date, searcher_pseudonym, ticket)) AS written,

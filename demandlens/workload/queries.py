@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -359,6 +359,28 @@ def silence_periods(spark, folder):
     )
 
 
+@query
+def search_rate_every_minute(spark, folder):
+    """Silent minutes are there with a rate of zero."""
+    rate = monitor.every_minute(monitor.search_rate(A.events_as_raw(spark, folder)))
+    return rate.select(
+        _text("minute"),
+        "received",
+        F.round("searches_per_second", 6).alias("searches_per_second"),
+    )
+
+
+@query
+def silence_so_far(spark, folder):
+    """The silence after the last search, an hour long, is reported too."""
+    rows = A.events_as_raw(spark, folder)
+    last = rows.agg(F.max("received_at").alias("last")).first()["last"]
+    gaps = monitor.silence_periods(rows, until=last + timedelta(hours=1))
+    return gaps.select(
+        _text("silent_from"), _text("silent_until"), "silent_ticks", _text("restart_due_at")
+    )
+
+
 @query
 def ingest_statistics(spark, folder):
     return monitor.ingest_statistics(A.order_lines_as_raw(spark, folder))

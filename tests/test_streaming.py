@@ -148,13 +148,28 @@ def test_silence_is_found_within_and_across_days(spark):
     assert [tuple(r) for r in got.collect()] == expected
 
 
-def test_watchdog_trips_after_the_tolerance_and_resets():
-    alarms = []
-    dog = monitor.SilenceWatchdog(alarms.append, tolerance=3)
-    assert [dog.record(rate) for rate in (0, 0, 0)] == [False, False, True]
-    dog = monitor.SilenceWatchdog(alarms.append, tolerance=3)
-    assert not any(dog.record(rate) for rate in (0, 0, 12.5, 0, 0))
+def test_silence_up_to_now_is_reported(spark):
+    rows = at_minutes(spark, [0, 1])
+    now = rows.agg({"received_at": "max"}).first()[0] + timedelta(minutes=6)
+    assert monitor.silence_periods(rows).count() == 0
+    assert [r["silent_ticks"] for r in monitor.silence_periods(rows, until=now).collect()] == [5]
+    assert monitor.silence_periods(rows, until=now - timedelta(minutes=1)).count() == 0
+
 
+def test_silent_minutes_have_a_rate_of_zero(spark):
+    rate = monitor.every_minute(monitor.search_rate(at_minutes(spark, [0, 0, 3])))
+    assert [r["received"] for r in rate.orderBy("minute").collect()] == [2, 0, 0, 1]
+
+
+def test_watchdog_counts_minutes_not_reports():
+    alarms, start = [], datetime(2026, 8, 13)
+    dog = monitor.SilenceWatchdog(alarms.append, tolerance=3)
+    for second in range(0, 300, 5):
+        dog.record(second == 0, start + timedelta(seconds=second))
+    assert alarms == [3, 4]
+    dog.record(1, start + timedelta(seconds=300))
+    assert not dog.record(0, start + timedelta(seconds=400))
+    assert alarms == [3, 4]
 
 def test_ingest_statistics(spark):
     rows = [(START, START.date(), "0" * 16, ticket, "q", "distributed") for ticket in (1, 1, 2)]
