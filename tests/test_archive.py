@@ -49,6 +49,14 @@ def test_every_line_gets_its_reason(spark):
     assert sum(report.values()) == len(CASES)
 
 
+def test_a_line_is_one_record(spark):
+    good = record()
+    odd = [good * 2, f"{good},{good}", f"{good} x", f"{good}]", f"{good}}}", f"{good}],[{good}"]
+    df = spark.createDataFrame([(x,) for x in (*odd, f"\u00a0{good}\u00a0")], "line string")
+    got = [row["reason"] for row in A.classify_archive(df).collect()]
+    assert got == [A.MALFORMED] * len(odd) + [A.IMPORTED]
+
+
 @pytest.mark.parametrize(
     "text",
     [
