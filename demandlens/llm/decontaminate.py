@@ -1,13 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman (operator 5).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman (operator 5).
 
 1. Every word five-gram of the test items is looked for in every text, in blocks of test
    items of bounded size (`block_grams`). Where some occur, the passage around them
    is cut out, an item's length to either side.
-2. Over all documents the number of documents per n-gram is counted. An item's seeds are
-   its n-grams that are not far more frequent than its usual (median) one: a stock phrase does
-   not make a candidate, yet a passage that a third of all documents share keeps its
-   n-grams, and so do the parts of it that are left in edited copies.
-3. Distinct (item, passage) pairs with a seed are aligned by words (match +2, mismatch
+2. Every such passage is a candidate, however many documents share its n-grams.
+3. Distinct (item, passage) pairs are aligned by words (match +2, mismatch
    and gap -1). A document is contaminated by an item when its best score reaches
    `threshold` of the item's full score, 0.5 by default, so edited and partial copies count.
 
@@ -32,12 +29,10 @@ from demandlens.llm.common import bound_batches, slices, stored
 GRAM = 5
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: An n-gram in so many times as many documents as the item's median is a stock phrase.
-RARE = 8
 #: n-grams of test items that one pass over the texts takes along.
 BLOCK_GRAMS = 2_000_000
 _WORD = re.compile(r"\w+")
-_PASSAGE = "row_no long, key long, item_id long, passage string, grams array<int>"
+_PASSAGE = "row_no long, key long, item_id long, passage string"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,31 +85,31 @@ def _passages(index: SeedIndex):
                 out = []
                 for i in range(a, b):
                     words = words_of(texts[i])
-                    places: dict[int, list[tuple[int, int]]] = {}
-                    for hit in index.hits(words):
-                        for item in index.items_of[hit[1]]:
-                            places.setdefault(item, []).append(hit)
+                    places: dict[int, list[int]] = {}
+                    for at, number in index.hits(words):
+                        for item in index.items_of[number]:
+                            places.setdefault(item, []).append(at)
                     for item, hits in places.items():
-                        for passage, grams in _clusters(sorted(hits), words, index.lengths[item]):
-                            out.append((rows[i], keys[i], item, passage, grams))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+                        for passage in _clusters(sorted(hits), words, index.lengths[item]):
+                            out.append((rows[i], keys[i], item, passage))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["row_no", "key", "item_id", "passage", "grams"],
+                    ["row_no", "key", "item_id", "passage"],
                 )
 
     return run
 
 
-def _clusters(hits: list[tuple[int, int]], words: list[str], length: int):
+def _clusters(hits: list[int], words: list[str], length: int):
     """Hits of one item nearer than its length share a passage."""
     start = 0
     for i in range(1, len(hits) + 1):
-        if i == len(hits) or hits[i][0] - hits[i - 1][0] > length:
-            first, last = hits[start][0], hits[i - 1][0]
+        if i == len(hits) or hits[i] - hits[i - 1] > length:
+            first, last = hits[start], hits[i - 1]
             passage = words[max(0, first - length) : last + GRAM + length]
-            yield " ".join(passage), sorted({g for _, g in hits[start:i]})
+            yield " ".join(passage)
             start = i
 
 
@@ -180,16 +175,7 @@ def contaminated(
 
 def _scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     passages = passages.withColumn("passage_key", F.md5("passage"))
-    each = passages.select("row_no", "item_id", F.explode("grams").alias("gram"))
-    seen = each.groupBy("item_id", "gram").agg(F.countDistinct("row_no").alias("df"))
-    usual = seen.groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("usual"))
-    # An item has as many n-grams as words at most.
-    seeds = (
-        seen.join(usual, "item_id").where(F.col("df") <= RARE * F.col("usual"))
-        .groupBy("item_id").agg(F.collect_set("gram").alias("seeds"))
-    )
-    candidates = passages.join(seeds, "item_id").where(F.arrays_overlap("grams", "seeds"))
-    distinct = candidates.groupBy("item_id", "passage_key").agg(F.first("passage").alias("passage"))
+    distinct = passages.groupBy("item_id", "passage_key").agg(F.first("passage").alias("passage"))
     pairs = distinct.join(items, "item_id").select("item_id", "item", "passage", "passage_key")
     scores = pairs.mapInArrow(
         _aligned, "item_id long, score long, full_score long, passage_key string"
@@ -198,7 +184,7 @@ def _scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFram
     scores = scores.groupBy("item_id", "passage_key").agg(
         F.max(F.struct(F.col("score") / F.col("full_score"), "score", "full_score")).alias("s")
     ).select("item_id", "passage_key", "s.score", "s.full_score")
-    hits = candidates.select("row_no", "key", "item_id", "passage_key").join(scores, ["item_id", "passage_key"])
+    hits = passages.select("row_no", "key", "item_id", "passage_key").join(scores, ["item_id", "passage_key"])
     return hits.groupBy("row_no", "key", "item_id").agg(
         F.max(F.struct(F.col("score") / F.col("full_score"), "score", "full_score")).alias("s")
     ).select("row_no", "key", "item_id", "s.score", "s.full_score")

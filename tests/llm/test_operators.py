@@ -283,6 +283,17 @@ def test_contamination_finds_copies_and_edits(spark, docs):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_hot_edited_copies_are_found_however_many(spark):
+    item = [f"w{i}" for i in range(20)]
+    edited = ["new" if i in (3, 8) else w for i, w in enumerate(item)]
+    rows = [(i, f"own{i} " + " ".join(item)) for i in range(3)]
+    rows += [(100 + i, f"own{i} " + " ".join(edited)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r.key: r.score for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {i: 40 if i < 100 else 34 for i, _ in rows}
+
+
 # -- 6: near duplicates --------------------------------------------------------------------
 
 
