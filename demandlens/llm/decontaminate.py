@@ -1,22 +1,33 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman (operator 5).
+"""Benchmark decontamination: Smith-Waterman behind an exact filter (operator 5).
 
-1. Every word five-gram of the test items is looked for in every text, in blocks of test
-   items of bounded size (`block_grams`). Where some occur, the passage around them
-   is cut out, an item's length to either side.
-2. Every such passage is a candidate, however many documents share its n-grams.
-3. Distinct (item, passage) pairs are aligned by words (match +2, mismatch
-   and gap -1). A document is contaminated by an item when its best score reaches
-   `threshold` of the item's full score, 0.5 by default, so edited and partial copies count.
+A document is contaminated by a test item when their best local alignment by words (match
++2, mismatch and gap -1) reaches `threshold` of the item's full score, 0.5 by default, so
+edited and partial copies count. Every such document is found: the filter before the
+alignment leaves out only what cannot reach the threshold t.
+
+1. Of an alignment of score 2·t·L with an item of L words, at least t·L - 1 steps from one
+   match to the next cost at most one: each takes two words at most one word apart, in item
+   and text alike (were more steps dearer, they would cost more than the score allows).
+   The alignment spans (3 - 2t)·L words of the text at most.
+2. So in that span at least t·L - 1 words of the text begin such a word pair of the item. Of
+   an item's words up to half that many, those whose pairs most items share, are not counted;
+   as many fewer are asked for then, which is exact as well.
+3. Texts are searched for the pairs in blocks of test items of bounded size (`block_grams`).
+   Where enough lie in a span, the passage around them is aligned, all passages of a slice
+   of texts together. One pass, no shuffle: how often a passage or pair occurs does not matter.
 
 Defined cases: words are runs of letters, digits and underscores in lower case; an item of
-fewer than five words is one n-gram; items without words match nothing; null texts are
-empty; repeated rows and items are reported each; rows without an item id are left out of
-the benchmark. Other columns are ignored.
+so few words that one match reaches the threshold (two, by default) is found by any of its
+words; items without words match nothing; null texts are empty; repeated rows and items are
+reported each; rows without an item id are left out of the benchmark. The same item id with
+several texts counts with its best one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import bound_batches, slices, stored
+from demandlens.llm.common import bound_batches, slices
 
-GRAM = 5
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: n-grams of test items that one pass over the texts takes along.
+#: Words of test items that one pass over the texts takes along.
 BLOCK_GRAMS = 2_000_000
+#: Pair hits, and cells of one row of the alignments, that a task works on at once.
+HITS, CELLS = 4_000_000, 1 << 18
+#: Between texts, so that no word pair reaches from one to the next.
+_APART = [0, 0]
 _WORD = re.compile(r"\w+")
-_PASSAGE = "row_no long, key long, item_id long, passage string"
+_FOUND = "row_no long, key long, item_id long, score long, full_score long"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -40,113 +54,198 @@ def words_of(text: str | None) -> list[str]:
 
 
 class SeedIndex:
-    """n-grams of some test items: word codes, n-gram numbers and their items."""
+    """Word pairs of some test items, and how many of them an alignment needs."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float):
+        self.threshold = threshold
         self.codes: dict[str, int] = {}
-        self.lengths: dict[int, int] = {}
-        grams: dict[tuple[int, ...], int] = {}
-        self.items_of: list[list[int]] = []
+        self.items: list[tuple[int, np.ndarray]] = []
         for item, text in items:
-            words = words_of(text)
-            self.lengths[item] = max(self.lengths.get(item, 0), len(words))
-            code = [self.codes.setdefault(w, len(self.codes) + 1) for w in words]
-            size = min(GRAM, len(code))
-            for i in range(len(code) - size + 1) if size else ():
-                number = grams.setdefault(tuple(code[i : i + size]), len(grams))
-                if number == len(self.items_of):
-                    self.items_of.append([])
-                if item not in self.items_of[number]:
-                    self.items_of[number].append(item)
-        self.grams = grams
-        self.sizes = sorted({len(g) for g in grams}, reverse=True)
-
-    def hits(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """(place, n-gram) in a text; only runs of words of the benchmark are looked at."""
+            if words := words_of(text):
+                code = [self.codes.setdefault(w, len(self.codes) + 1) for w in words]
+                self.items.append((item, np.array(code, np.int64)))
+        self.base = len(self.codes) + 1
+        size = np.array([len(code) for _, code in self.items], np.int64)
+        self.span = np.floor((3 - 2 * threshold) * size + 1e-9).astype(np.int64)
+        need = np.ceil(threshold * size - 1e-9).astype(np.int64) - 1
+        self.by_word = bool((need < 1).any())
+        starts = [self._starts(code.tolist(), n) for (_, code), n in zip(self.items, need, strict=True)]
+        shared = Counter(k for each in starts for k in {k for keys in each for k in keys})
+        keys, entries = [], []
+        for entry, each in enumerate(starts):
+            # The words whose pairs are the least shared come first.
+            each.sort(key=lambda keys: max(shared[k] for k in keys))
+            spared = max(0, int(need[entry]) // 2)
+            held = {k for keys in each[: len(each) - spared] for k in keys}
+            keys += held
+            entries += [entry] * len(held)
+            need[entry] = max(1, need[entry] - spared)
+        self.need = need
+        order = np.lexsort((np.array(entries, np.int64), np.array(keys, np.int64)))
+        self.entries = np.array(entries, np.int64)[order]
+        self.keys, first = np.unique(np.array(keys, np.int64)[order], return_index=True)
+        self.bounds = np.append(first, len(entries))
+
+    def _starts(self, code: list[int], need: int) -> list[list[int]]:
+        """Per word of an item the keys of the pairs it begins; of the word if one match is enough."""
+        if need < 1:
+            return [[a * self.base] for a in code]
+        pairs = [[a * self.base + b for b in code[i + 1 : i + 3]] for i, a in enumerate(code)]
+        return pairs[:-1]
+
+    def encoded(self, words: list[str]) -> list[int]:
         get = self.codes.get
-        code = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        for size in self.sizes:
-            if len(code) < size:
+        return [get(w, 0) for w in words]
+
+    def passages(self, code: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, from, to) of all passages of joined texts that need an alignment."""
+        if not len(self.keys):
+            return
+        places, numbers = [], []
+        for away in (1, 2, None):
+            if away is None and not self.by_word:
                 continue
-            filled = np.cumsum(np.concatenate([[0], code > 0]))
-            starts = np.flatnonzero(filled[size:] - filled[:-size] == size)
-            for at in starts.tolist():
-                number = self.grams.get(tuple(code[at : at + size].tolist()))
-                if number is not None:
-                    yield at, number
+            a = code if away is None else code[:-away]
+            b = np.zeros_like(code) if away is None else code[away:]
+            at = np.flatnonzero((a > 0) & (b > 0) if away else a > 0)
+            key = a[at] * self.base + b[at]
+            number = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[number] == key
+            places.append(at[known])
+            numbers.append(number[known])
+        place, number = np.concatenate(places), np.concatenate(numbers)
+        order = np.argsort(place, kind="stable")
+        place, number = place[order], number[order]
+        count = self.bounds[number + 1] - self.bounds[number]
+        # Whole texts are taken together until they have HITS hits.
+        before = np.concatenate([[0], np.cumsum(count)])
+        text_from = np.searchsorted(place, starts)
+        a = 0
+        while a < len(starts):
+            most = before[text_from[a]] + HITS
+            ends = before[np.append(text_from[a + 1 :], len(place))]
+            b = a + max(1, int(np.searchsorted(ends, most, "right")))
+            low, high = text_from[a], text_from[b] if b < len(starts) else len(place)
+            yield from self._spans(place[low:high], number[low:high], count[low:high], code, starts)
+            a = b
 
+    def _spans(self, place, number, count, code, starts) -> Iterator[tuple[int, int, int, int]]:
+        total = int(count.sum())
+        if not total:
+            return
+        inner = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        entry = self.entries[np.repeat(self.bounds[number], count) + inner]
+        hit = np.unique(entry * len(code) + np.repeat(place, count))
+        entry, at = np.divmod(hit, len(code))
+        text = np.searchsorted(starts, at, "right") - 1
+        last = np.arange(len(hit)) + self.need[entry] - 1
+        fits = np.minimum(last, len(hit) - 1)
+        span = self.span[entry]
+        enough = (
+            (last < len(hit)) & (entry[fits] == entry) & (text[fits] == text) & (at[fits] - at < span)
+        )
+        entry, at, text, span = entry[enough], at[enough], text[enough], span[enough]
+        if not len(at):
+            return
+        ends = np.append(starts[1:] - len(_APART), len(code) - len(_APART))
+        low, high = np.maximum(at - span, starts[text]), np.minimum(at + span + 2, ends[text])
+        # Passages of one text and item that touch become one.
+        cut = (entry[1:] != entry[:-1]) | (text[1:] != text[:-1]) | (low[1:] > high[:-1])
+        first = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        final = np.append(first[1:] - 1, len(at) - 1)
+        yield from zip(
+            text[first].tolist(), entry[first].tolist(), low[first].tolist(), high[final].tolist(),
+            strict=True,
+        )
 
-def _passages(index: SeedIndex):
+    def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item id, score, full score) of the texts' contaminations."""
+        joined: list[int] = []
+        starts = []
+        for text in texts:
+            starts.append(len(joined))
+            joined += self.encoded(words_of(text))
+            joined += _APART
+        code = np.array(joined, np.int64)
+        pairs: dict[tuple[int, bytes], list[int]] = {}
+        for text, entry, low, high in self.passages(code, np.array(starts, np.int64)):
+            pairs.setdefault((entry, code[low:high].tobytes()), []).append(text)
+        scores = align_all(
+            [self.items[entry][1] for entry, _ in pairs],
+            [np.frombuffer(passage, np.int64) for _, passage in pairs],
+        )
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for ((entry, _), rows), score in zip(pairs.items(), scores, strict=True):
+            item, full = self.items[entry][0], MATCH * len(self.items[entry][1])
+            if score >= self.threshold * full:
+                for text in rows:
+                    got = (score / full, score, full)
+                    best[text, item] = max(got, best.get((text, item), got))
+        for (text, item), (_, score, full) in best.items():
+            yield text, item, score, full
+
+
+def align_all(items: list[np.ndarray], passages: list[np.ndarray]) -> list[int]:
+    """The best local alignment score of each item and passage (Smith-Waterman, linear gaps).
+
+    Both are numbers of words; an item has none below one.
+    """
+    out = [0] * len(items)
+    order = sorted(range(len(items)), key=lambda i: len(passages[i]))
+    while order:
+        # From the longest passage on, as many as fit.
+        width = len(passages[order[-1]])
+        chunk = order[-max(1, CELLS // (width + 1)) :]
+        del order[-len(chunk) :]
+        a = np.full((len(chunk), max(len(items[i]) for i in chunk)), -1, np.int32)
+        b = np.zeros((len(chunk), width), np.int32)
+        for n, i in enumerate(chunk):
+            a[n, : len(items[i])], b[n, : len(passages[i])] = items[i], passages[i]
+        # Gaps in a row: the best of all cells to the left, less their distance.
+        slope = np.arange(width + 1, dtype=np.int32) * -GAP
+        row, new = np.zeros((2, len(chunk), width + 1), np.int32)
+        best = np.zeros(len(chunk), np.int32)
+        for k in range(a.shape[1]):
+            step = np.where(b == a[:, k : k + 1], np.int32(MATCH), np.int32(MISMATCH))
+            new[:, 0] = 0
+            np.maximum(row[:, :-1] + step, row[:, 1:] + np.int32(GAP), out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            new += slope
+            np.maximum.accumulate(new, axis=1, out=new)
+            new -= slope
+            np.maximum(best, new.max(axis=1), out=best)
+            row, new = new, row
+        for i, score in zip(chunk, best.tolist(), strict=True):
+            out[i] = score
+    return out
+
+
+def align(item: list[str], passage: list[str]) -> int:
+    """The best local alignment score of two word lists."""
+    codes: dict[str, int] = {}
+    a = np.array([codes.setdefault(w, len(codes) + 1) for w in item], np.int64)
+    return align_all([a], [np.array([codes.get(w, 0) for w in passage], np.int64)])[0]
+
+
+def _found(index: SeedIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
-                out = []
-                for i in range(a, b):
-                    words = words_of(texts[i])
-                    places: dict[int, list[int]] = {}
-                    for at, number in index.hits(words):
-                        for item in index.items_of[number]:
-                            places.setdefault(item, []).append(at)
-                    for item, hits in places.items():
-                        for passage in _clusters(sorted(hits), words, index.lengths[item]):
-                            out.append((rows[i], keys[i], item, passage))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                out = [
+                    (rows[a + i], keys[a + i], item, score, full)
+                    for i, item, score, full in index.found(texts[a:b])
+                ]
+                columns = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["row_no", "key", "item_id", "passage"],
+                    [pa.array(c, pa.int64()) for c in columns],
+                    ["row_no", "key", "item_id", "score", "full_score"],
                 )
 
     return run
 
 
-def _clusters(hits: list[int], words: list[str], length: int):
-    """Hits of one item nearer than its length share a passage."""
-    start = 0
-    for i in range(1, len(hits) + 1):
-        if i == len(hits) or hits[i] - hits[i - 1] > length:
-            first, last = hits[start], hits[i - 1]
-            passage = words[max(0, first - length) : last + GRAM + length]
-            yield " ".join(passage)
-            start = i
-
-
-def align(item: list[str], passage: list[str]) -> int:
-    """The best local alignment score of two word lists (Smith-Waterman, linear gaps)."""
-    codes: dict[str, int] = {}
-    a = [codes.setdefault(w, len(codes)) for w in item]
-    b = np.array([codes.get(w, -1) for w in passage], np.int32)
-    # Gaps in a row: the best of all cells to the left, less their distance.
-    slope = np.arange(len(b) + 1) * -GAP
-    row, best = np.zeros(len(b) + 1, np.int64), 0
-    for code in a:
-        new = np.zeros(len(b) + 1, np.int64)
-        np.maximum(row[:-1] + np.where(b == code, MATCH, MISMATCH), row[1:] + GAP, out=new[1:])
-        np.maximum(new, 0, out=new)
-        row = np.maximum.accumulate(new + slope) - slope
-        best = max(best, int(row.max()))
-    return best
-
-
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores, full = [], []
-        for item, passage in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = words_of(item)
-            full.append(MATCH * len(words))
-            plain = " ".join(words)
-            if f" {plain} " in f" {passage} ":
-                scores.append(full[-1])
-            else:
-                scores.append(align(words, passage.split(" ")))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(scores, pa.int64()), pa.array(full, pa.int64()), batch.column(3)],
-            ["item_id", "score", "full_score", "passage_key"],
-        )
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id",
     row_no: str | None = None, item_id: str = "item_id", item_text: str = "text",
@@ -165,26 +264,9 @@ def contaminated(
     blocks = max(1, -(-total // block_grams))
     found = None
     for block in range(blocks):
+        # All texts of an item id are in one block.
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         held = [(r.item_id, r.item) for r in part.toLocalIterator()]
-        passages = rows.mapInArrow(_passages(SeedIndex(sorted(held))), _PASSAGE)
-        pairs = _scored(stored(passages, "passages"), part, threshold)
+        pairs = rows.mapInArrow(_found(SeedIndex(sorted(held), threshold)), _FOUND)
         found = pairs if found is None else found.unionByName(pairs)
     return found
-
-
-def _scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    passages = passages.withColumn("passage_key", F.md5("passage"))
-    distinct = passages.groupBy("item_id", "passage_key").agg(F.first("passage").alias("passage"))
-    pairs = distinct.join(items, "item_id").select("item_id", "item", "passage", "passage_key")
-    scores = pairs.mapInArrow(
-        _aligned, "item_id long, score long, full_score long, passage_key string"
-    ).where(F.col("score") >= threshold * F.col("full_score"))
-    # The same item twice with other words counts with its better score.
-    scores = scores.groupBy("item_id", "passage_key").agg(
-        F.max(F.struct(F.col("score") / F.col("full_score"), "score", "full_score")).alias("s")
-    ).select("item_id", "passage_key", "s.score", "s.full_score")
-    hits = passages.select("row_no", "key", "item_id", "passage_key").join(scores, ["item_id", "passage_key"])
-    return hits.groupBy("row_no", "key", "item_id").agg(
-        F.max(F.struct(F.col("score") / F.col("full_score"), "score", "full_score")).alias("s")
-    ).select("row_no", "key", "item_id", "s.score", "s.full_score")

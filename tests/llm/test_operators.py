@@ -294,6 +294,41 @@ def test_hot_edited_copies_are_found_however_many(spark):
     assert got == {i: 40 if i < 100 else 34 for i, _ in rows}
 
 
+def test_copies_without_an_intact_five_gram_are_found(spark):
+    item, short, tiny = [f"w{i}" for i in range(40)], [f"s{i}" for i in range(9)], ["p", "q", "r", "s"]
+    rows = [(n, "a b " + " ".join("new" if i % n == n - 1 else w for i, w in enumerate(item))) for n in (4, 5)]
+    rows += [(6, " ".join(f"{w} new" for w in item)), (7, " ".join([*short[:4], "new", *short[5:]]))]
+    rows += [(8, "p q new s"), (9, " ".join("new" if i % 2 else w for i, w in enumerate(item)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = [(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(tiny))]
+    got = decontaminate.contaminated(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.key, r.item_id, r.score) for r in got} == {(4, 1, 51), (5, 1, 57), (6, 1, 41), (7, 2, 15), (8, 3, 5)}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("hits", [1, 4_000_000])
+def test_contamination_is_that_of_all_pairs(monkeypatch, threshold, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = np.random.default_rng(13)
+    for words in (3, 8, 40):
+        names = [f"v{i}" for i in range(words)]
+        items = [(i, " ".join(rng.choice(names, rng.integers(0, 13)))) for i in range(8)]
+        texts = [None, ""]
+        for _ in range(20):
+            edited = list(rng.choice([*names, "x"], rng.integers(0, 12)))
+            for w in items[rng.integers(0, 8)][1].split():
+                edited += [[w], [w, "x"], ["x"], [], [w]][rng.choice(5, p=[0.4, 0.2, 0.1, 0.1, 0.2])]
+            texts.append(" ".join(edited))
+        want = set()
+        for n, text in enumerate(texts):
+            for i, item in items:
+                full = 2 * len(item.split())
+                score = brute_alignment(item.split(), (text or "").split())
+                if full and score >= threshold * full:
+                    want.add((n, i, score, full))
+        assert set(decontaminate.SeedIndex(items, threshold).found(texts)) == want
+
+
 # -- 6: near duplicates --------------------------------------------------------------------
 
 
