@@ -410,6 +410,33 @@ def test_licences(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_of_the_longer_catalogue(spark):
+    s = license_scan.SENTENCES
+    texts = {
+        "Words.\nAll rights reserved.\nMore": ["proprietary"],
+        "Copyright (c) 2020, Someone, all rights reserved.": ["proprietary"],
+        f"Copyright 2020 X. All rights reserved.\n{s['N']}:\n\n1. {s['O']}.\n2. {s['P']}.": ["BSD-2-Clause"],
+        "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General "
+        "Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your "
+        "option) any later version.": ["GPL-2.0"],
+        f"{s['g']}; {s['h']}; {s['e']}.": ["LGPL-2.1"],
+        f"{s['j']}.": ["AGPL-3.0"],
+        f"{s['m']}.": ["ISC"], f"{s['o']}.": ["Unlicense"], f"{s['r']}.": ["BSL-1.0"], f"{s['t']}.": ["CC0-1.0"],
+        "Licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "License: LGPL-3.0 or later": ["LGPL-3.0"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "Released under CC0 1.0.": ["CC0-1.0"], "Licensed under the Eclipse Public License 2.0.": ["EPL-2.0"],
+        "Licensed under the Business Source License 1.1.": ["BUSL-1.1"],
+        "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "/* spdx-license-identifier: mit */": ["MIT"],
+        "# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later WITH Classpath-exception-2.0) AND 0BSD.\nx": ["0BSD", "GPL-2.0", "MIT"],
+        "# SPDX-License-Identifier: AGPL-3.0-only\n# SPDX-License-Identifier: EUPL-1.2\nand on": ["AGPL-3.0", "EUPL-1.2"],
+        "Released under the terms of the GNU LGPL v2.1 or (at your option) any later version.": ["LGPL-2.1"],
+        "reserved seats and free software": [],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.l for r in df.select("text", license_scan.licenses(F.col("text")).alias("l")).collect()}
+    assert got == texts
+
+
 # -- 8: languages ---------------------------------------------------------------------------
 
 
