@@ -437,6 +437,44 @@ def test_licences_of_the_longer_catalogue(spark):
     assert got == texts
 
 
+def brute_licences(text):
+    """Sentence by sentence, the ordered rules tried one after the other."""
+    known = {license_scan.normalised(s): k for k, s in license_scan.SENTENCES.items()}
+    rules = sorted(license_scan.RULES.items(), key=lambda r: -len(r[0]))
+    found = set()
+    for line_end in ("\x01", " "):
+        ids = ""
+        for sentence in re.sub(license_scan._ENDS, "\x01", text).replace("\n", line_end).split("\x01"):
+            ids += known.get(license_scan.normalised(sentence), "")
+        while ids:
+            rule, name = next((r for r in rules if ids.startswith(r[0])), (ids[0], "partial"))
+            found.add(name)
+            ids = ids[len(rule):]
+    return sorted(found - {"partial"}) or sorted(found)
+
+
+def test_rules_over_a_whole_table_with_planted_notices(spark):
+    rng = np.random.default_rng(17)
+    said = license_scan.SENTENCES
+    sequences = [r for r in license_scan.RULES if set(r) <= said.keys()]
+    rows = []
+    for r in small(spark, "documents").collect():
+        lines = (r.text or "").split("\n")
+        for _ in range(rng.integers(0, 4)):
+            ids = sequences[rng.integers(0, len(sequences))]
+            ids = ids[: rng.integers(1, len(ids) + 1)]
+            notice = rng.choice([". ", ".\n", ".\n\n"]).join(said[i] for i in ids) + "."
+            if rng.integers(0, 2):
+                notice = notice.replace(" ", "\n", 1)
+            lines.insert(rng.integers(0, len(lines) + 1), notice)
+        rows += [(r.doc_id, "\n".join(lines))] * int(rng.integers(1, 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = df.select("doc_id", license_scan.licenses(F.col("text")).alias("l")).collect()
+    want = Counter((k, tuple(brute_licences(t))) for k, t in rows)
+    assert Counter((r.doc_id, tuple(r.l)) for r in got) == want
+    assert any("partial" in x for _, x in want) and any("BSD-3-Clause" in x for _, x in want)
+
+
 # -- 8: languages ---------------------------------------------------------------------------
 
 
