@@ -6,7 +6,7 @@ query and a candidate, so the highest scores are the nearest neighbours.
 
 1. A bounded sample of pivots (`pivots`) splits space into cells. Each row goes to the
    nearest pivot.
-2. Per cell, summaries (rows, greatest distance, the k+1 smallest distances) are
+2. Per cell, summaries (rows, greatest distance, the smallest distances) are
    brought to the driver: one row per pivot. From them follows, for every cell of
    queries, a radius within which each of its queries has k neighbours.
 3. A candidate is sent to a group of query cells only if the triangle inequality
@@ -18,8 +18,8 @@ A crowded cell, be it of one repeated vector, is split into many blocks by row,
 task holds more than one block. Nothing is dropped: the bounds keep ties.
 
 Defined cases: vectors that are null, empty, or hold a null, NaN or infinity take no
-part, nor do rows without an id. Rows with one id count as one, with the smallest of
-their vectors (in array order). Shorter vectors count as padded with zeros. Scores are
+part, nor do rows without an id. Rows that share an id are candidates each, though not for
+one another; of queries that share an id the k best of all of them are the answer. Shorter vectors count as padded with zeros. Scores are
 exact while they fit in 63 bits.
 """
 
@@ -38,18 +38,20 @@ from demandlens.llm.common import stored
 PIVOTS = 64
 GROUP_QUERIES = 512
 BLOCK_ROWS = 8192
+#: Rows of one id that the summary of a cell makes room for; beyond, cells are not left out.
+SAME_ID = 64
 #: Relative room for rounding in distances.
 SLACK = 1e-6
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale · x) of each usable vector, one row per id."""
+    """(id, v): floor(scale · x) of each usable vector, a row each."""
     x = F.col("_v")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("_v"))
     rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite)
     whole = F.transform(x, lambda e: F.floor(e * float(scale)).cast("long"))
-    return rows.select("id", whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select("id", whole.alias("v"))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -79,7 +81,7 @@ def _assign(pivots: np.ndarray, radius2: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1), width)
-            columns = [batch.column(0), pa.array([x.tobytes() for x in v.astype("<i8")], pa.binary())]
+            columns = [batch.column(0), batch.column(2), pa.array([x.tobytes() for x in v.astype("<i8")], pa.binary())]
             for points in (
                 _lifted(v, radius2),
                 np.hstack([v.astype(np.float64), np.zeros((len(v), 1))]),
@@ -87,12 +89,12 @@ def _assign(pivots: np.ndarray, radius2: float, width: int):
                 far = _distances(points, pivots)
                 cell = far.argmin(1)
                 columns += [pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(v)), cell])]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "far", "q_cell", "q_far"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row_no", "v", "cell", "far", "q_cell", "q_far"])
 
     return run
 
 
-_ASSIGNED = "id long, v binary, cell int, far double, q_cell int, q_far double"
+_ASSIGNED = "id long, row_no long, v binary, cell int, far double, q_cell int, q_far double"
 
 
 def top_k(
@@ -104,32 +106,34 @@ def top_k(
     `vectors` has (id, v) from `integer_vectors`; `is_query` is a condition on id.
     """
     spark = vectors.sparkSession
-    vectors = stored(vectors, "vectors")
+    vectors = stored(vectors.withColumn("row_no", F.monotonically_increasing_id()), "vectors")
     squared = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e)
     whole = vectors.agg(F.max(F.size("v")).alias("width"), F.max(squared).alias("radius2")).first()
     answer = "query_id long, rank int, id long, score long"
     if not whole.width:
         return spark.createDataFrame([], answer)
     width, radius2 = whole.width, whole.radius2
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
+    chosen = vectors.orderBy(F.xxhash64("id", "row_no"), "row_no").limit(pivots).toArrow()
     points = _lifted(_matrix(chosen["v"].combine_chunks(), width), radius2)
-    cells = stored(vectors.mapInArrow(_assign(points, radius2, width), _ASSIGNED), "cells")
+    cells = stored(vectors.select("id", "v", "row_no").mapInArrow(_assign(points, radius2, width), _ASSIGNED), "cells")
     queries = cells.where(is_query)
 
+    same = vectors.groupBy("id").count().agg(F.max("count").alias("n")).first().n
+    held_rows = k + min(same, SAME_ID)
     near = Window.partitionBy("cell").orderBy("far")
     closest = (
-        cells.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
+        cells.withColumn("n", F.row_number().over(near)).where(F.col("n") <= held_rows)
         .groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("closest"))
     )
     held = cells.groupBy("cell").agg(F.count("*").alias("n")).join(closest, "cell").toPandas()
     asked = queries.groupBy("q_cell").agg(F.count("*").alias("n"), F.max("q_far").alias("far")).toPandas()
     if asked.empty:
         return spark.createDataFrame([], answer)
-    groups, sends = _plan(points, held, asked, k, group_queries, block_rows)
+    groups, sends = _plan(points, held, asked, k + same, group_queries, block_rows)
 
     of_cell = spark.createDataFrame(groups, "q_cell int, grp int, chunks int, blocks int")
     sent = spark.createDataFrame(sends, "cell int, grp int, least double, chunks int, blocks int")
-    spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    spread = lambda n, seed: F.pmod(F.xxhash64("row_no", F.lit(seed)), F.col(n)).cast("int")
     to_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     to_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     left = queries.join(F.broadcast(of_cell), "q_cell").select(
@@ -147,7 +151,7 @@ def top_k(
     return ranked.select("query_id", "rank", "id", "score")
 
 
-def _plan(points, held: pd.DataFrame, asked: pd.DataFrame, k: int, group_queries: int, block_rows: int):
+def _plan(points, held: pd.DataFrame, asked: pd.DataFrame, rows: int, group_queries: int, block_rows: int):
     """From summaries alone: groups of query cells, and what each group must see.
 
     Returns rows (q_cell, group, chunks, blocks) and (cell, group, least distance to
@@ -158,9 +162,9 @@ def _plan(points, held: pd.DataFrame, asked: pd.DataFrame, k: int, group_queries
     data, closest = held["cell"].to_numpy(), held["closest"].to_list()
     bound = {}
     for cell, reach in zip(asked["q_cell"], asked["far"], strict=True):
-        # k + 1 rows this near exist for each query, one of which may be itself.
+        # So many rows this near exist for each query: k, and those with its own id.
         upper = np.sort(np.concatenate([reach + apart[cell, c] + d for c, d in zip(data, closest, strict=True)]))
-        radius = upper[k] if len(upper) > k else np.inf
+        radius = upper[rows - 1] if len(upper) >= rows else np.inf
         bound[cell] = apart[cell] - reach - radius - room
     # Neighbouring cells share a group up to its size; a larger cell is cut in chunks.
     order = sorted(zip(apart[0, asked["q_cell"]], asked["q_cell"], asked["n"], strict=True))

@@ -156,6 +156,30 @@ def test_top_k_damaged_rows(spark):
     assert voronoi.top_k(empty, F.lit(True), 5).collect() == []
 
 
+def test_top_k_rows_that_share_an_id_match_the_sql(spark):
+    rng = np.random.default_rng(19)
+    centres = rng.normal(size=(6, 8))
+    # Ids of one to 90 rows, some rows repeated.
+    ids = [0] * 90 + [50] * 3 + [100] + [7] * 20 + list(range(200, 420)) * 2
+    rows = [(i, [float(x) for x in centres[n % 6] + 0.1 * rng.normal(size=8)]) for n, i in enumerate(ids)]
+    rows += rows[:40] + rows[100:110]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    engine, embeddings = duckdb.connect(), df.toArrow()
+    engine.register("embeddings", embeddings)
+    sql = queries.all_statements()["op2_voronoi_top_k"]
+    want = Counter(engine.execute(f"SELECT query_id, rank, vec_id, score FROM ({sql})").fetchall())
+    vectors = voronoi.integer_vectors(df, "vec_id", "embedding")
+    got = voronoi.top_k(vectors, F.col("id") % 50 == 0, 5, pivots=16, group_queries=8, block_rows=50)
+    assert Counter(map(tuple, got.collect())) == want
+    few = df.where("vec_id <> 0")
+    embeddings = few.toArrow()
+    engine.register("embeddings", embeddings)
+    want = Counter(engine.execute(f"SELECT query_id, rank, vec_id, score FROM ({sql})").fetchall())
+    vectors = voronoi.integer_vectors(few, "vec_id", "embedding")
+    got = voronoi.top_k(vectors, F.col("id") % 50 == 0, 5, pivots=16, group_queries=8, block_rows=50)
+    assert Counter(map(tuple, got.collect())) == want
+
+
 # -- 3: secrets ----------------------------------------------------------------------
 
 RULES = [
