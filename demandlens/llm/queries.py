@@ -13,6 +13,7 @@ from demandlens.llm import (
     decontaminate,
     language,
     license_scan,
+    periodic_runs,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -124,6 +125,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.col("key").alias("doc_id"), "n_bytes", "shard", "depth", "shard_bytes")
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.scan(table(spark, folder, "documents"), plant=True)
+    return found.select(
+        F.col("key").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli",
+        "runs_sha256", "collapsed_sha256", "n_words",
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -134,7 +143,7 @@ def all_queries() -> dict[str, Query]:
     own = (
         op1_token_store, op2_voronoi_top_k, op3_secret_scan, op4_sentencepiece,
         op5_decontamination, op6_bagminhash, op7_license_scan, op8_language_id,
-        op9_token_counts, op10_sharding, pipeline,
+        op9_token_counts, op10_sharding, op13_periodic_runs, pipeline,
     )
     return {q.__name__: q for q in own}
 
