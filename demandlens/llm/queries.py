@@ -17,6 +17,7 @@ from demandlens.llm import (
     secret_scan,
     sentencepiece_codec,
     sharding,
+    spelling,
     token_counts,
     token_store,
     voronoi,
@@ -125,6 +126,11 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.col("key").alias("doc_id"), "n_bytes", "shard", "depth", "shard_bytes")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, folder, "documents"), misspell=True)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs.scan(table(spark, folder, "documents"), plant=True)
     return found.select(
@@ -143,7 +149,8 @@ def all_queries() -> dict[str, Query]:
     own = (
         op1_token_store, op2_voronoi_top_k, op3_secret_scan, op4_sentencepiece,
         op5_decontamination, op6_bagminhash, op7_license_scan, op8_language_id,
-        op9_token_counts, op10_sharding, op13_periodic_runs, pipeline,
+        op9_token_counts, op10_sharding, op11_spelling_variants,
+        op13_periodic_runs, pipeline,
     )
     return {q.__name__: q for q in own}
 
