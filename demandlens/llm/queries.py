@@ -14,6 +14,7 @@ from demandlens.llm import (
     language,
     license_scan,
     periodic_runs,
+    quality_rules,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -131,6 +132,17 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Trusted texts are those labelled as good and not as toxic."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0")
+    found = quality_rules.judge(docs, quality_rules.learn(docs, good.select("doc_id")))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "score",
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs.scan(table(spark, folder, "documents"), plant=True)
     return found.select(
@@ -150,7 +162,7 @@ def all_queries() -> dict[str, Query]:
         op1_token_store, op2_voronoi_top_k, op3_secret_scan, op4_sentencepiece,
         op5_decontamination, op6_bagminhash, op7_license_scan, op8_language_id,
         op9_token_counts, op10_sharding, op11_spelling_variants,
-        op13_periodic_runs, pipeline,
+        op12_quality_rules, op13_periodic_runs, pipeline,
     )
     return {q.__name__: q for q in own}
 

@@ -62,7 +62,10 @@ def counted_words(
 
     With a null key, words stay as they are.
     """
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.explode(letter_words(F.col(text))).alias("word"))
+    # Plain explode would cut the texts once more to leave out those without words.
+    rows = docs.select(
+        F.col(key).cast("string").alias("key"), F.explode_outer(letter_words(F.col(text))).alias("word")
+    )
     rows = rows.where(F.length("word") >= least_letters)
     if misspell:
         h = F.crc32(F.concat("key", F.lit(":"), "word"))
