@@ -46,6 +46,13 @@ class Store:
     def hourly(self, entity: tuple[str, ...]) -> str:
         return self.artist_hourly if entity == ARTIST else self.track_hourly
 
+    def increments(self, entity: tuple[str, ...]) -> str:
+        """What live roll-ups of an entity have added and no fold has taken yet."""
+        return f"{self.hourly(entity)}_increments"
+
+    def folds(self, entity: tuple[str, ...]) -> str:
+        return f"{self.hourly(entity)}_folds"
+
 
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's view of a path and the file system it lives on."""
@@ -53,6 +60,43 @@ def filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no folder."""
+    target, files = filesystem(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(target))
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole; whoever comes second gets an error."""
+    aside, files = filesystem(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = files.create(aside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    final, _ = filesystem(spark, path)
+    if files.exists(final) or not files.rename(aside, final):
+        files.delete(aside, False)
+        raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = filesystem(spark, path)
+    files.delete(target, True)
+
+
+def replace_days(states: DataFrame, path: str, entity: tuple[str, ...]) -> None:
+    """Write hourly states over the days they belong to; other days stay as they are."""
+    (
+        states.repartition("hour_date", F.pmod(F.xxhash64(*entity), F.lit(32)))
+        .sortWithinPartitions("hour_date", "hour_start", *entity)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("hour_date")
+        .parquet(path)
+    )
+
+
 def stream_name(spark: SparkSession, checkpoint: str) -> str:
     """What Spark named the stream of a checkpoint: kept by restarts, new with a new one."""
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]

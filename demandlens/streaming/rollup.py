@@ -26,7 +26,8 @@ def maintain_hourly(
     too late. An increment lies below its day, under the stream's own name and batch
     number: a batch run again after a failure replaces what it wrote before, and a
     stream with a new checkpoint adds to what is there. Repeats must be suppressed
-    upstream.
+    upstream. Charts read increments once ``plans.fold`` has taken them; it looks for them
+    at ``Store.increments``.
     """
 
     def add_increment(batch: DataFrame, batch_id: int) -> None:

@@ -11,7 +11,7 @@ from datetime import datetime
 from demandlens.operators.resolver import COMMON_FIRST_WORDS, PLACEHOLDERS
 from demandlens.plans.periods import resolve_period
 from demandlens.sources.catalogue import PLACEHOLDER_KEYS
-from demandlens.workload.queries import DEMO_KEY
+from demandlens.workload.queries import DEMO_KEY, SCENE_SEEDS
 
 # -- the tables as searches ---------------------------------------------------
 
@@ -502,6 +502,7 @@ FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events)"""
     out["artist_hourly"] = hourly_sql(events, "events_parsed", "artist_name")
     out["track_hourly"] = hourly_sql(events, "events_parsed", "artist_name, track_name")
     out["stream_artist_hourly"] = out["artist_hourly"]
+    out["stream_then_fold"] = out["artist_hourly"]
     out["window_merge"] = f"""{events}
 SELECT artist_name, key_epoch, count(*) AS searches,
     count(DISTINCT searcher_pseudonym) AS listeners
@@ -589,6 +590,19 @@ FROM runs WHERE silent_ticks >= 5"""
         "(SELECT date_trunc('minute', max(ts)) FROM events)",
         "(SELECT date_trunc('minute', max(ts)) + INTERVAL 59 MINUTES FROM events)",
     )
+    out["stream_silence"] = f"""
+WITH busy AS (
+    SELECT DISTINCT event_type, date_trunc('minute', ts) AS minute FROM events
+    WHERE ts < (SELECT date_trunc('minute', max(ts)) FROM events)
+),
+gaps AS (
+    SELECT event_type, minute,
+        lag(minute) OVER (PARTITION BY event_type ORDER BY minute) AS before FROM busy
+)
+SELECT event_type AS source, {time_text("before + INTERVAL 1 MINUTE")} AS silent_from,
+    {time_text("minute")} AS silent_until,
+    date_diff('minute', before, minute) - 1 AS silent_ticks
+FROM gaps WHERE date_diff('minute', before, minute) - 1 >= 5"""
     out["search_rate_every_minute"] = f"""
 WITH ticks AS (
     SELECT unnest(generate_series(
@@ -605,6 +619,34 @@ SELECT count(*) AS received,
     CAST(0 AS BIGINT) AS dropped
 FROM lines_parsed"""
 
+    seeds = ", ".join(f"'{word}'" for word in SCENE_SEEDS)
+    lift = f"""{lines},
+pairs AS (
+    SELECT DISTINCT searcher_pseudonym AS person,
+        unnest(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}]+')) AS word
+    FROM lines_parsed
+),
+scene AS (SELECT DISTINCT person FROM pairs WHERE word IN ({seeds})),
+sizes AS (
+    SELECT (SELECT count(*) FROM scene) AS scene, count(DISTINCT person) AS everyone,
+        count(DISTINCT word) AS words FROM pairs
+),
+counts AS (
+    SELECT word, count(*) FILTER (person IN (SELECT person FROM scene)) AS scene_people,
+        count(*) AS people FROM pairs GROUP BY word
+),
+lifts AS (
+    SELECT word, scene_people, people,
+        ((scene_people + 1.0::DOUBLE) / (scene + words)) / ((people + 1.0::DOUBLE) / (everyone + words)) AS lift
+    FROM counts, sizes
+)"""
+    out["scene_lift"] = f"{lift} SELECT word, scene_people, people, round(lift, 6) AS lift FROM lifts"
+    out["scene_recommendation"] = f"""{lift}
+SELECT CAST(row_number() OVER (ORDER BY round(lift, 9) DESC, scene_people DESC, word) AS INTEGER)
+    AS position, word, scene_people, people, round(lift, 6) AS lift
+FROM lifts WHERE word NOT IN ({seeds}) AND scene_people >= 2
+QUALIFY position <= 20"""
+
     out["take_file_name"] = f"""WITH {PIECES},
 texts AS (SELECT query_text FROM queries UNION ALL SELECT url FROM pages)
 SELECT query_text, {file_name_sql("query_text")} AS file_name FROM texts"""

@@ -12,10 +12,12 @@ from demandlens import schemas as S
 from demandlens.functions import parsing, privacy
 from demandlens.functions import text as X
 from demandlens.operators import dedup, hourly, resolver
-from demandlens.plans import charts, lookups, maintenance, periods, reprocess, store
+from demandlens.plans import (
+    charts, fold, lookups, maintenance, periods, reprocess, scenes, store,
+)
 from demandlens.session import apply_defaults, shared_dir
 from demandlens.sources import archive, catalogue, raw
-from demandlens.streaming import ingest, monitor, rollup
+from demandlens.streaming import ingest, monitor, rollup, silence
 from demandlens.workload import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -773,3 +775,64 @@ def stream_artist_hourly(spark, folder):
     return _state_rows(rollup.read_increments(spark, f"{root}/states"), *hourly.ARTIST)
 
 
+
+
+@query
+def stream_then_fold(spark, folder):
+    """Two streams that meet in one day, folded into the hourly table.
+
+    The first fold ends between its decision and its table, as after a crash; the second
+    completes it before it takes what came since, and a third finds nothing.
+    """
+    place = store.Store(shared_dir(spark, "live"))
+    parsed = A.event_searches(_stream(spark, folder))
+    is_early = F.col("received_at") < datetime(2024, 1, 16, 12)
+    for name, part in (("early", parsed.where(is_early)), ("late", parsed.where(~is_early))):
+        checkpoint = f"{place.root}/checkpoint-{name}"
+        _drain(rollup.maintain_hourly(part, place.increments(hourly.ARTIST), checkpoint, available_now=True))
+        if name == "early":
+            fold.prepare(spark, place)
+    fold.fold_increments(spark, place)
+    fold.fold_increments(spark, place)
+    return _state_rows(store.read_hourly(spark, place), *hourly.ARTIST)
+
+
+@query
+def stream_silence(spark, folder):
+    """Silences of each kind of event, found live with keyed state.
+
+    Event time ends with the last whole minute before the newest event.
+    """
+    searches = _stream(spark, folder).select(
+        F.col("ts").alias("received_at"), F.col("event_type").alias("source")
+    )
+    root = shared_dir(spark, "silence")
+    found = silence.live_silence(searches, lateness="0 seconds")
+    writer = found.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
+    _drain(writer.trigger(availableNow=True).format("parquet").start(f"{root}/found"))
+    return spark.read.schema(silence.SCHEMA).parquet(f"{root}/found").where(
+        F.col("kind") == silence.RESUMED
+    ).select("source", _text("silent_from"), _text("silent_until"), "silent_ticks")
+
+
+# -- scenes -------------------------------------------------------------------
+
+
+def _order_line_words(spark: SparkSession, folder: str) -> DataFrame:
+    return scenes.person_words(A.order_lines_as_parsed(spark, folder))
+
+
+SCENE_SEEDS = ("11",)
+
+
+@query
+def scene_lift(spark, folder):
+    """Every word's lift in the scene of customers who ordered parts of one brand number."""
+    lift = scenes.scene_lift(_order_line_words(spark, folder), SCENE_SEEDS)
+    return lift.withColumn("lift", F.round("lift", 6))
+
+
+@query
+def scene_recommendation(spark, folder):
+    found = scenes.recommended(_order_line_words(spark, folder), SCENE_SEEDS, size=20)
+    return found.withColumn("lift", F.round("lift", 6))
