@@ -54,6 +54,7 @@ def _chart(
     offset: int,
     look_back: bool,
     top_k_limit: int,
+    first_seen: DataFrame | None = None,
 ) -> DataFrame:
     check_page(page_size, offset)
     totals = _window_totals(hourly, entity, window)
@@ -66,13 +67,19 @@ def _chart(
     )
 
     # People of the page's entities now, and whether they were ever seen before
-    # the previous period. The look-back reads names only.
+    # the previous period. The look-back reads names only: one row per entity where first
+    # hours are kept, all hours otherwise.
     current = in_hours(
         hourly, moment_literal(window.current_start), moment_literal(window.current_end)
     ).select(*entity, "key_epoch", "unique_searchers", F.lit(False).alias("_past"))
     facts = current
     if look_back:
-        past = in_hours(hourly, None, moment_literal(window.previous_start)).select(
+        before_previous = moment_literal(window.previous_start)
+        past = (
+            in_hours(hourly, None, before_previous)
+            if first_seen is None
+            else first_seen.where(F.col("first_hour") < before_previous)
+        ).select(
             *entity,
             F.lit(None).cast("smallint").alias("key_epoch"),
             F.lit(None).cast("binary").alias("unique_searchers"),
@@ -120,9 +127,14 @@ def artist_chart(
     page_size: int = DEFAULT_PAGE_SIZE,
     offset: int = 0,
     top_k_limit: int = ranking.TOP_K_LIMIT,
+    first_seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Artists by searches in the window, with listeners and movement."""
-    return _chart(hourly, ARTIST, window, page_size, offset, True, top_k_limit)
+    """Artists by searches in the window, with listeners and movement.
+
+    ``first_seen`` (``plans.first_seen``) tells new artists from returning ones without
+    reading the hours before the window.
+    """
+    return _chart(hourly, ARTIST, window, page_size, offset, True, top_k_limit, first_seen)
 
 
 def track_chart(

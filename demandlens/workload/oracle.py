@@ -453,6 +453,7 @@ def all_statements() -> dict[str, str]:
             round(greatest(searches / greatest(max(searches) OVER (), 1) * 100, 2), 6) AS share""",
     )
     out["chart_export"] = out["artist_chart_week"]
+    out["artist_chart_first_seen"] = out["artist_chart_week"]
     out["artist_time_series"] = events + merged_sql(
         "date_trunc('day', received_at)",
         "artist_name = 'artist 07' AND date_trunc('hour', received_at) >= TIMESTAMP '2024-01-05 12:00:00'",
@@ -619,6 +620,20 @@ SELECT count(*) AS received,
     CAST(0 AS BIGINT) AS dropped
 FROM lines_parsed"""
 
+    out["stream_overlap"] = f"""{events},
+items AS (
+    SELECT DISTINCT split_part(query_text, ' ', 1) AS stream,
+        searcher_pseudonym || ':' || artist_name AS item FROM events_parsed
+),
+sizes AS (SELECT stream, count(*) AS n FROM items GROUP BY stream),
+pairs AS (
+    SELECT a.stream AS first, b.stream AS second, a.n AS first_items, b.n AS second_items,
+        (SELECT count(*) FROM items x JOIN items y ON x.item = y.item
+            WHERE x.stream = a.stream AND y.stream = b.stream) AS shared_items
+    FROM sizes a JOIN sizes b ON a.stream < b.stream
+)
+SELECT *, round(shared_items / (first_items + second_items - shared_items), 6) AS jaccard,
+    jaccard AS jaccard_estimate, jaccard AS jaccard_low, jaccard AS jaccard_high FROM pairs"""
     seeds = ", ".join(f"'{word}'" for word in SCENE_SEEDS)
     lift = f"""{lines},
 pairs AS (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from demandlens.functions import parsing, privacy
 from demandlens.functions import text as X
 from demandlens.operators import dedup, hourly, resolver
 from demandlens.plans import (
-    charts, fold, lookups, maintenance, periods, reprocess, scenes, store,
+    charts, first_seen, fold, lookups, maintenance, overlap, periods, reprocess, scenes, store,
 )
 from demandlens.session import apply_defaults, shared_dir
 from demandlens.sources import archive, catalogue, raw
@@ -102,6 +102,22 @@ def artist_chart_month(spark, folder):
     return charts.artist_chart(states, window)
 
 
+@query
+def artist_chart_first_seen(spark, folder):
+    """The week's chart with kept first hours, which two loads have brought up to date."""
+    place = store.Store(shared_dir(spark, "first-seen"))
+    states = hourly.conform_hourly(_artist_hourly(spark, folder), hourly.ARTIST)
+    is_early = F.col("hour_date") < date(2024, 1, 12)
+    for part in (states.where(~is_early), states.where(is_early)):
+        store.replace_days(part, place.artist_hourly, hourly.ARTIST)
+        days = part.select("hour_date").distinct().collect()
+        first_seen.update(spark, place, [row["hour_date"] for row in days])
+    window = periods.resolve_period("week", datetime(2024, 1, 24))
+    return charts.artist_chart(
+        store.read_hourly(spark, place), window, first_seen=first_seen.read(spark, place)
+    )
+
+
 @query
 def artist_chart_page2(spark, folder):
     window = periods.resolve_period("week", datetime(2024, 1, 24))
@@ -815,7 +831,24 @@ def stream_silence(spark, folder):
     ).select("source", _text("silent_from"), _text("silent_until"), "silent_ticks")
 
 
-# -- scenes -------------------------------------------------------------------
+# -- overlap and scenes ---------------------------------------------------------
+
+
+@query
+def stream_overlap(spark, folder):
+    """Kinds of events as streams; a person asking for an artist as an item."""
+    searches = A.events_as_parsed(spark, folder).select(
+        F.substring_index("query_text", " ", 1).alias("stream"),
+        F.concat_ws(":", "searcher_pseudonym", "artist_name").alias("item"),
+    )
+    exact = overlap.exact_overlap(searches, "stream", "item")
+    estimated = overlap.estimated_overlap(overlap.stream_sketches(searches, "stream", "item"))
+    both = exact.join(estimated, ["first", "second"])
+    shares = ("jaccard", "jaccard_estimate", "jaccard_low", "jaccard_high")
+    return both.select(
+        "first", "second", "first_items", "second_items", "shared_items",
+        *(F.round(name, 6).alias(name) for name in shares),
+    )
 
 
 def _order_line_words(spark: SparkSession, folder: str) -> DataFrame:
