@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandlens import schemas as S
 from demandlens.functions.privacy import derived_ticket
+from demandlens.functions.json_lines import one_value, trimmed
 from demandlens.functions.text import SPACE
 
 logger = logging.getLogger(__name__)
@@ -112,14 +113,8 @@ def classify_archive(lines: DataFrame, line: str = "line") -> DataFrame:
     than stored as text. Nothing disappears: each line gets one reason. A line is one
     JSON value; two glued together, or one with something behind it, are malformed.
     """
-    text = F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
-    # Spark's parser stops after the first value. Only a single value is right both as an
-    # array's element and as a field.
-    as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    parsed = lines.withColumn(
-        "_json", F.when(as_element.isNotNull() & as_field.isNotNull(), F.try_parse_json(text))
-    )
+    text = trimmed(F.col(line))
+    parsed = lines.withColumn("_json", one_value(text))
     is_object = F.col("_json").isNotNull() & text.rlike(rf"^[{SPACE}]*\{{")
     keys = F.when(is_object, F.json_object_keys(text))
     fields = parsed.select(

@@ -620,6 +620,27 @@ SELECT count(*) AS received,
     CAST(0 AS BIGINT) AS dropped
 FROM lines_parsed"""
 
+    out["catalogue_dump_report"] = f"""WITH {PIECES}
+SELECT count(*) FILTER ((doc_id + piece_no) % 10 <> 0) AS records,
+    count(*) FILTER ((doc_id + piece_no) % 10 = 0) AS skipped FROM queries"""
+    weeks = [
+        (f"SELECT artist_name, searcher_pseudonym FROM events_parsed "
+         f"WHERE received_at >= TIMESTAMP '2024-01-{a}' AND received_at < TIMESTAMP '2024-01-{b}'")
+        for a, b in ((15, 22), (22, 29))
+    ]
+    out["artist_trends"] = f"""{events},
+before AS ({weeks[0]}), now AS ({weeks[1]}),
+b AS (SELECT artist_name, count(DISTINCT searcher_pseudonym) AS n FROM before GROUP BY artist_name),
+c AS (SELECT artist_name, count(DISTINCT searcher_pseudonym) AS n FROM now GROUP BY artist_name),
+shares AS (
+    SELECT coalesce(b.artist_name, c.artist_name) AS artist_name,
+        coalesce(b.n, 0) AS people_before, coalesce(c.n, 0) AS people_now,
+        people_before / (SELECT count(DISTINCT searcher_pseudonym) FROM before) AS share_before,
+        people_now / (SELECT count(DISTINCT searcher_pseudonym) FROM now) AS share_now
+    FROM b FULL JOIN c ON b.artist_name = c.artist_name
+)
+SELECT artist_name, people_before, people_now, round(share_before, 6) AS share_before,
+    round(share_now, 6) AS share_now, round(share_now - share_before, 6) AS change FROM shares"""
     out["stream_overlap"] = f"""{events},
 items AS (
     SELECT DISTINCT split_part(query_text, ' ', 1) AS stream,

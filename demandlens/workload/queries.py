@@ -14,6 +14,7 @@ from demandlens.functions import text as X
 from demandlens.operators import dedup, hourly, resolver
 from demandlens.plans import (
     charts, first_seen, fold, lookups, maintenance, overlap, periods, reprocess, scenes, store,
+    trends,
 )
 from demandlens.session import apply_defaults, shared_dir
 from demandlens.sources import archive, catalogue, raw
@@ -533,6 +534,11 @@ def catalogue_build(spark, folder):
     return built.withColumn("token_count", F.col("token_count").cast("int"))
 
 
+@query
+def catalogue_dump_report(spark, folder):
+    return catalogue.dump_report(A.dump_lines(spark, folder))
+
+
 def _candidates(spark, folder):
     normalized = A.document_queries(spark, folder).select(
         "doc_id", "piece_no", X.normalize_query(F.col("query_text")).alias("normalized")
@@ -869,3 +875,14 @@ def scene_lift(spark, folder):
 def scene_recommendation(spark, folder):
     found = scenes.recommended(_order_line_words(spark, folder), SCENE_SEEDS, size=20)
     return found.withColumn("lift", F.round("lift", 6))
+
+
+@query
+def artist_trends(spark, folder):
+    """Every artist's share of people, this week against the one before."""
+    window = periods.resolve_period("week", datetime(2024, 1, 24))
+    found = trends.trends(A.events_as_parsed(spark, folder), window)
+    shares = ("share_before", "share_now", "change")
+    return found.select(
+        "artist_name", "people_before", "people_now", *(F.round(s, 6).alias(s) for s in shares)
+    )
