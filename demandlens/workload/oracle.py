@@ -641,6 +641,25 @@ shares AS (
 )
 SELECT artist_name, people_before, people_now, round(share_before, 6) AS share_before,
     round(share_now, 6) AS share_now, round(share_now - share_before, 6) AS change FROM shares"""
+    out["artist_chart_spellings"] = f"""{events},
+typed AS (
+    SELECT *, CASE hour(received_at) % 3 WHEN 0 THEN 'The ' || artist_name
+        WHEN 1 THEN upper(artist_name) ELSE artist_name END AS name FROM events_parsed
+    WHERE parse_confidence >= 0.5
+        AND received_at >= TIMESTAMP '2024-01-22' AND received_at < TIMESTAMP '2024-01-29'
+),
+names AS (SELECT artist_name, name, count(*) AS n FROM typed GROUP BY ALL),
+shown AS (
+    SELECT artist_name, arg_min(name, (-n, name)) AS name, count(*) AS spellings
+    FROM names GROUP BY artist_name
+),
+counted AS (
+    SELECT artist_name, count(*) AS searches, count(DISTINCT searcher_pseudonym) AS listeners
+    FROM typed GROUP BY artist_name
+)
+SELECT CAST(row_number() OVER (ORDER BY searches DESC, name) AS INTEGER) AS position,
+    name AS artist_name, searches, listeners, spellings
+FROM shown JOIN counted USING (artist_name) QUALIFY position <= 50"""
     out["stream_overlap"] = f"""{events},
 items AS (
     SELECT DISTINCT split_part(query_text, ' ', 1) AS stream,

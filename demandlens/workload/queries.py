@@ -13,8 +13,8 @@ from demandlens.functions import parsing, privacy
 from demandlens.functions import text as X
 from demandlens.operators import dedup, hourly, resolver
 from demandlens.plans import (
-    charts, first_seen, fold, lookups, maintenance, overlap, periods, reprocess, scenes, store,
-    trends,
+    charts, first_seen, fold, lookups, maintenance, overlap, periods, reprocess, scenes, spellings,
+    store, trends,
 )
 from demandlens.session import apply_defaults, shared_dir
 from demandlens.sources import archive, catalogue, raw
@@ -886,3 +886,14 @@ def artist_trends(spark, folder):
     return found.select(
         "artist_name", "people_before", "people_now", *(F.round(s, 6).alias(s) for s in shares)
     )
+
+
+@query
+def artist_chart_spellings(spark, folder):
+    """Artists typed in three ways by hour of day, counted together."""
+    searches = A.events_as_parsed(spark, folder)
+    name, shape = F.col("artist_name"), F.hour("received_at") % 3
+    typed = F.when(shape == 0, F.concat(F.lit("The "), name)).when(shape == 1, F.upper(name)).otherwise(name)
+    states = hourly.hourly_states(searches.withColumn("artist_name", typed), hourly.ARTIST)
+    window = periods.resolve_period("week", datetime(2024, 1, 24))
+    return spellings.merged_chart(states, window)
