@@ -108,11 +108,13 @@ def artist_chart_first_seen(spark, folder):
     """The week's chart with kept first hours, which two loads have brought up to date."""
     place = store.Store(shared_dir(spark, "first-seen"))
     states = hourly.conform_hourly(_artist_hourly(spark, folder), hourly.ARTIST)
-    is_early = F.col("hour_date") < date(2024, 1, 12)
-    for part in (states.where(~is_early), states.where(is_early)):
-        store.replace_days(part, place.artist_hourly, hourly.ARTIST)
-        days = part.select("hour_date").distinct().collect()
-        first_seen.update(spark, place, [row["hour_date"] for row in days])
+    dates = A.events_as_parsed(spark, folder).select("received_date").distinct().collect()
+    days = sorted(row["received_date"] for row in dates)
+    cut = date(2024, 1, 12)
+    for part in ([d for d in days if d >= cut], [d for d in days if d < cut]):
+        of_part = states.where(F.col("hour_date").isin(part))
+        store.replace_days(of_part, place.artist_hourly, hourly.ARTIST)
+        first_seen.update(spark, place, part)
     window = periods.resolve_period("week", datetime(2024, 1, 24))
     return charts.artist_chart(
         store.read_hourly(spark, place), window, first_seen=first_seen.read(spark, place)
