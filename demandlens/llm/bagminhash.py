@@ -223,11 +223,13 @@ def near_duplicates(
 
     class_id is the least key of the class; the kept row of a class is the one with the
     least key (nulls last, then the first in the input). `row_no` may name a column of
-    distinct longs; otherwise rows are numbered as they lie in the input.
+    distinct longs that are the same whenever the input is read; otherwise rows are
+    numbered as they lie in the input and written, as another reading may number otherwise.
     """
     bound_batches(docs.sparkSession)
     number = F.col(row_no) if row_no else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row_no"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows if row_no else stored(rows, "numbered")
     signed = stored(
         rows.select("row_no", "text").mapInArrow(
             _signed, "row_no long, text_key binary, weight long, bands array<long>, sketch array<long>"

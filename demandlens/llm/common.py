@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -28,6 +29,14 @@ def stored(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column bears it, in whatever case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Batches that Python gets are bounded in bytes, unless the user has chosen a bound.
 
@@ -87,3 +96,28 @@ class WordTable(dict):
         again = new & self.before.keys()
         self.update((x, self.before[x]) for x in again)
         self.update(self.work(list(new - again)))
+
+
+class TaskWords(dict):
+    """What one task has worked out for words, bounded in bytes.
+
+    Beyond the bound all is forgotten, and what a slice of text needs is worked out anew.
+    It belongs to its task: the worker has its memory back when the task ends.
+    """
+
+    #: Of a dictionary's entry itself, beside its key and value.
+    ENTRY = 100
+
+    def __init__(self, work: Callable[[list[str]], Iterable[tuple[str, object]]], most_bytes: int):
+        super().__init__()
+        self.work, self.most, self.bytes = work, most_bytes, 0
+
+    def learn(self, wanted: set[str]) -> None:
+        """Afterwards the table has all of these; new ones are worked out together."""
+        new = wanted - self.keys()
+        if new and self.bytes >= self.most:
+            self.clear()
+            self.bytes, new = 0, wanted
+        for word, value in self.work(list(new)):
+            self[word] = value
+            self.bytes += sys.getsizeof(word) + sys.getsizeof(value) + self.ENTRY

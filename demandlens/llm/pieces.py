@@ -60,7 +60,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-class PieceModel:
+class Pieces:
     """Pieces, scores and settings of a model file; small (one vocabulary)."""
 
     def __init__(self, path: str):
@@ -83,6 +83,26 @@ class PieceModel:
                     raise ValueError("only models without text normalisation are supported")
         if any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("pieces that go on over a space are not supported")
+
+    def _add(self, piece: dict) -> None:
+        text, kind, i = piece[1].decode(), piece.get(3, NORMAL), len(self.pieces)
+        self.pieces.append(text)
+        self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
+        if kind == USER_DEFINED:
+            raise ValueError("user-defined symbols are not supported")
+        if kind == NORMAL:
+            self.ids[text] = i
+        elif kind == BYTE:
+            self.byte_ids[int(text[3:5], 16)] = i
+        elif kind == UNKNOWN:
+            self.unknown = i
+
+
+class PieceModel(Pieces):
+    """A model that segments words: how pieces are merged, and states by prefix."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0)
         #: The two pieces that a longer piece is merged from last, if merging makes it.
         self.halves: dict[str, tuple[str, str]] = {}
@@ -116,19 +136,6 @@ class PieceModel:
             states[text] = {0: tuple((len(x), x, self._seams[x]) for x in ends), 1: text}
         return states
 
-    def _add(self, piece: dict) -> None:
-        text, kind, i = piece[1].decode(), piece.get(3, NORMAL), len(self.pieces)
-        self.pieces.append(text)
-        self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
-        if kind == USER_DEFINED:
-            raise ValueError("user-defined symbols are not supported")
-        if kind == NORMAL:
-            self.ids[text] = i
-        elif kind == BYTE:
-            self.byte_ids[int(text[3:5], 16)] = i
-        elif kind == UNKNOWN:
-            self.unknown = i
-
     def ids_of(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         if found is not None:

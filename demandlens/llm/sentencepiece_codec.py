@@ -3,7 +3,8 @@
 `encode` and `decode` are column functions. Every task cuts its texts into words with
 marked spaces, walks the distinct new ones in sorted order as a trie (pieces.py), and
 joins the ids of each text from the words' ids. There is no shuffle, and memory is
-bounded by one slice of text and a table of remembered words.
+bounded by one slice of text and a table of words of so many bytes. Model and table
+end with their task, so what one stage remembers is not held under the next.
 
 Defined cases: null in, null out; an empty text has no ids; runs of spaces are words of
 their own; "▁" in a text counts as a space, as for the model itself. Decoding leaves out
@@ -22,24 +23,26 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import WordTable, bound_batches, slices
-from demandlens.llm.pieces import REMEMBERED, SPACE, PieceModel
+from demandlens.llm.common import TaskWords, bound_batches, slices
+from demandlens.llm.pieces import SPACE, PieceModel, Pieces
 
 __all__ = ["decode", "encode"]
 
+#: Bytes of words and their ids that a task remembers.
+WORD_BYTES = 48 << 20
+
 
 @lru_cache(maxsize=2)
 def _model(path: str) -> PieceModel:
+    """For token counts, which keep it as long as the Python worker."""
     return PieceModel(path)
 
 
-@lru_cache(maxsize=1)
-def _encoded_words(path: str) -> WordTable:
-    """One per Python worker: words and their ids as bytes."""
-    model = _model(path)
-    return WordTable(
+def _encoded_words(model: PieceModel) -> TaskWords:
+    """Words and their ids as bytes."""
+    return TaskWords(
         lambda words: ((w, array("i", x).tobytes()) for w, x in model.encode_words(words)),
-        REMEMBERED,
+        WORD_BYTES,
     )
 
 
@@ -48,7 +51,8 @@ def encode(text: Column, model_path: str) -> Column:
     bound_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, known = _model(model_path), _encoded_words(model_path)
+        model = PieceModel(model_path)
+        known = _encoded_words(model)
         for batch in batches:
             texts = batch.to_pylist()
             made = []
@@ -69,7 +73,7 @@ def decode(ids: Column, model_path: str) -> Column:
     bound_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(model_path)
+        model = Pieces(model_path)
         raw = pa.array(_piece_bytes(model), pa.binary())
         for batch in batches:
             lists = batch.cast(pa.list_(pa.int32()))
@@ -94,7 +98,7 @@ def decode(ids: Column, model_path: str) -> Column:
     return F.arrow_udf(_typed(run), "string")(ids)
 
 
-def _piece_bytes(model: PieceModel) -> list[bytes]:
+def _piece_bytes(model: Pieces) -> list[bytes]:
     shown = {i: x.replace(SPACE, " ").encode() for x, i in model.ids.items()}
     shown |= {i: bytes([b]) for b, i in model.byte_ids.items()}
     shown[model.unknown] = " ⁇ ".encode()
