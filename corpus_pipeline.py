@@ -11,62 +11,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.llm import bagminhash, decontaminate, language, secret_scan, sentencepiece_codec
-from demandlens.llm.common import stored, table
+from demandlens.llm.common import fresh_name, stored, table
 from demandlens.llm.queries import vocabulary
 
 #: SQL for run()'s rows: none, as alignment and classifiers are not SQL.
 ORACLE_SQL = None
 
-_ROW = "_pipeline_row"
 #: Shorter texts stay even when their language is unclear.
 ENOUGH_CHARS = 200
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own: equal rows, and rows without an id, stay apart."""
-    return docs.withColumn(_ROW, F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a number of their own, and the name of its column.
+
+    Equal rows, and rows without an id, stay apart. The numbers are written: file splits
+    follow the cores at planning time, so a second reading may number rows otherwise.
+    """
+    row = fresh_name(docs, "_pipeline_row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in `gone`, without it."""
+    return rows.join(gone.select(F.col("row_no").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents go that have no letter, or enough text and yet no clear language."""
+    """Documents go that have no letter, or enough text and yet no clear language.
+
+    Null and empty texts have no letter and go. The model learns from all rows with a text
+    and a language; null languages, sources and ids play no part. Repeated rows are judged
+    alike; an empty table stays empty; further columns pass through under any name.
+    """
     model = language.learn(docs)
-    found = language.identify(F.col("text"), model)
-    unclear = F.col("_found.is_ambiguous") & (F.length("text") >= ENOUGH_CHARS)
-    kept = docs.withColumn("_found", found).where(
-        (F.col("_found.lang") != language.UNDETERMINED) & ~unclear
-    )
-    return kept.select(*docs.columns)
+    name = fresh_name(docs, "_found")
+    found = docs.withColumn(name, language.identify(F.col("text"), model))
+    unclear = F.col(f"{name}.is_ambiguous") & (F.length("text") >= ENOUGH_CHARS)
+    kept = found.where((F.col(f"{name}.lang") != language.UNDETERMINED) & ~unclear)
+    return kept.drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    rows = _numbered(docs)
-    found = bagminhash.near_duplicates(rows, row_no=_ROW)
-    gone = found.where("NOT is_kept").select(F.col("row_no").alias(_ROW))
-    return rows.join(gone, _ROW, "left_anti").drop(_ROW)
+    """One document of each class of near duplicates stays: the one of the least doc_id.
+
+    Null ids come last, ties fall to the first in the input, so of repeated rows one stays.
+    Null and empty texts are copies of each other. An empty table stays empty; further
+    columns pass through under any name.
+    """
+    rows, row = _numbered(docs)
+    found = bagminhash.near_duplicates(rows, row_no=row)
+    return _without(rows, row, found.where("NOT is_kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents go that hold a passage of the benchmark."""
-    rows = _numbered(docs)
-    found = decontaminate.contaminated(rows, table(spark, folder, "benchmark"), row_no=_ROW)
-    gone = found.select(F.col("row_no").alias(_ROW)).distinct()
-    return rows.join(gone, _ROW, "left_anti").drop(_ROW)
+    """Documents go that hold a passage of the benchmark.
+
+    Null and empty texts hold none and stay. Repeated rows go or stay together. An empty
+    table stays empty; further columns pass through under any name.
+    """
+    rows, row = _numbered(docs)
+    found = decontaminate.contaminated(rows, table(spark, folder, "benchmark"), row_no=row)
+    return _without(rows, row, found)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Secrets in texts are masked; every document stays."""
-    rows = _numbered(docs)
-    found = secret_scan.scan(rows, row_no=_ROW).where(F.size("spans") > 0)
-    found = found.select(F.col("row_no").alias(_ROW), F.col("spans").alias("_spans"))
-    empty = F.array().cast(found.schema["_spans"].dataType)
-    masked = secret_scan.masked(F.col("text"), F.coalesce("_spans", empty))
-    out = rows.join(found, _ROW, "left").withColumn("text", masked)
+    """Secrets in texts are masked; every document stays.
+
+    A null text stays null. n_chars is counted anew where a text was masked. Repeated rows
+    are masked alike. An empty table stays empty; further columns pass through under any name.
+    """
+    rows, row = _numbered(docs)
+    spans = fresh_name(docs, "_spans")
+    found = secret_scan.scan(rows, row_no=row).where(F.size("spans") > 0)
+    found = found.select(F.col("row_no").alias(row), F.col("spans").alias(spans))
+    empty = F.array().cast(found.schema[spans].dataType)
+    masked = secret_scan.masked(F.col("text"), F.coalesce(spans, empty))
+    out = rows.join(found, row, "left").withColumn("text", masked)
     if "n_chars" in docs.columns:
         out = out.withColumn(
-            "n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+            "n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text"))
         )
-    return out.select(*docs.columns)
+    return out.drop(row, spans)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
