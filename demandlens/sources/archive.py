@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 
@@ -12,6 +13,7 @@ from demandlens import schemas as S
 from demandlens.functions.privacy import derived_ticket
 from demandlens.functions.json_lines import one_value, trimmed
 from demandlens.functions.text import SPACE
+from demandlens.sources.archive_stream import GZIP_SIGNATURE, ArchiveLines
 
 logger = logging.getLogger(__name__)
 
@@ -32,67 +34,73 @@ NO_SEARCHER = "no_searcher"
 INVALID = "invalid"
 
 
-def read_archive(spark: SparkSession, *paths: str) -> DataFrame:
-    """Archive lines with their file and place in it.
+def archive_files(spark: SparkSession, *paths: str) -> list[str]:
+    """The files that paths stand for: a folder's ``searches-*.jsonl*``, or the file itself.
 
-    A folder stands for its ``searches-*.jsonl*`` files. Files ending in
-    ``.gz`` are unpacked by Spark. Files that lost the suffix are read with
-    ``read_archive_without_suffix``. Invalid bytes become U+FFFD.
+    Missing paths are skipped with a warning.
     """
-    frames = []
-    jvm = spark.sparkContext._jvm
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = []
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        target = path_of(path)
         files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not files.exists(target):
             logger.warning("skipping %s: not found", path)
-            continue
-        is_folder = files.getFileStatus(target).isDirectory()
-        source = os.path.join(path, ARCHIVE_FILE_PATTERN) if is_folder else path
-        if is_folder and not files.globStatus(jvm.org.apache.hadoop.fs.Path(source)):
-            continue
-        frames.append(spark.read.text(source))
-    if not frames:
-        raise FileNotFoundError("nothing to import: pass archive files or a folder of them")
-    lines = frames[0]
-    for frame in frames[1:]:
-        lines = lines.unionAll(frame)
-    return lines.select(
-        F.make_valid_utf8("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_order"),
-    )
+        elif files.getFileStatus(target).isDirectory():
+            inside = files.globStatus(path_of(os.path.join(path, ARCHIVE_FILE_PATTERN)))
+            found += sorted(status.getPath().toString() for status in inside)
+        else:
+            found.append(files.makeQualified(target).toString())
+    return found
 
 
-def read_archive_without_suffix(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of gzip files whose name lost its suffix, found by their signature.
+def suffix_is_right(spark: SparkSession, file: str) -> bool:
+    """Whether a file's suffix says of gzip what its first two bytes say."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        signature = bytes(byte & 255 for byte in (stream.read(), stream.read()))  # -1 at the end
+    finally:
+        stream.close()
+    return file.endswith(".gz") == (signature == GZIP_SIGNATURE)
+
+
+def read_archive(spark: SparkSession, *paths: str) -> DataFrame:
+    """Archive lines with their file and place in it.
 
-    One file is one record here, as gzip cannot be split anyway; convert such
-    an archive to Parquet once rather than reading it again and again.
+    A folder stands for its ``searches-*.jsonl*`` files. Whether a file is packed is told by
+    its first two bytes, of which the driver reads no more. Where the suffix agrees, Spark
+    reads the file as text; files that lost the suffix, or bear it wrongly, go through
+    ``ArchiveLines``. Invalid bytes become U+FFFD.
     """
-    files = spark.read.format("binaryFile").load(path)
-
-    def unpack(batches):
-        import gzip
-
-        for batch in batches:
-            packed = batch["content"].map(lambda content: content[:2] == b"\x1f\x8b")
-            batch["content"] = [
-                gzip.decompress(content) if is_packed else content
-                for content, is_packed in zip(batch["content"], packed, strict=True)
-            ]
-            yield batch[["path", "content"]]
-
-    unpacked = files.select("path", "content").mapInPandas(unpack, "path string, content binary")
-    text = F.make_valid_utf8(F.decode("content", "UTF-8"))
-    lines = unpacked.select("path", F.posexplode(F.split(text, "\r?\n")))
-    return lines.select(
-        F.col("col").alias("line"),
-        F.col("path").alias("file"),
-        F.lit(0).cast("bigint").alias("block"),
-        F.col("pos").cast("bigint").alias("line_order"),
-    )
+    files = archive_files(spark, *paths)
+    if not files:
+        raise FileNotFoundError("nothing to import: pass archive files or a folder of them")
+    usual = [file for file in files if suffix_is_right(spark, file)]
+    frames = []
+    if usual:
+        frames.append(
+            spark.read.text(usual).select(
+                F.make_valid_utf8("value").alias("line"),
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line_order"),
+            )
+        )
+    if len(usual) < len(files):
+        frames.append(read_archive_by_signature(spark, *(x for x in files if x not in set(usual))))
+    return frames[0] if len(frames) == 1 else frames[0].unionAll(frames[1])
+
+
+def read_archive_by_signature(spark: SparkSession, *files: str) -> DataFrame:
+    """Lines of files, unpacked where their first two bytes are those of gzip."""
+    spark.dataSource.register(ArchiveLines)
+    return spark.read.format("archive_lines").option("paths", json.dumps(files)).load()
+
+
+def read_archive_without_suffix(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of gzip files whose name lost its suffix; a path is a file or a folder."""
+    return read_archive_by_signature(spark, *archive_files(spark, path))
 
 
 def wall_clock(time_text: Column) -> Column:

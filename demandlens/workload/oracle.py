@@ -774,6 +774,11 @@ SELECT {time_text("wall_clock")} AS received_at, searcher_pseudonym,
 FROM archive WHERE reason = 'imported'"""
     out["archive_reject_report"] = f"""WITH {ARCHIVE}
 SELECT reason, count(*) AS line_count FROM archive GROUP BY reason"""
+    out["archive_files"] = f"""WITH {ARCHIVE}
+SELECT CASE ticket % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'packed' ELSE 'renamed' END AS kind, reason,
+    count(*) AS line_count
+FROM archive GROUP BY ALL"""
+    out["archive_files_raw"] = out["archive_import"]
     out["archive_import_limit"] = f"""WITH {ARCHIVE}
 SELECT file, line_order, searcher_pseudonym, query_text, received_at FROM (
     SELECT ticket % 3 AS file, ticket AS line_order, searcher_pseudonym, query_text,

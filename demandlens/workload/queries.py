@@ -13,8 +13,8 @@ from demandlens.functions import parsing, privacy
 from demandlens.functions import text as X
 from demandlens.operators import dedup, hourly, resolver
 from demandlens.plans import (
-    charts, first_seen, fold, lookups, maintenance, overlap, periods, reprocess, scenes, spellings,
-    store, trends,
+    charts, first_seen, fold, imports, lookups, maintenance, overlap, periods, reprocess, scenes,
+    spellings, store, trends,
 )
 from demandlens.session import apply_defaults, shared_dir
 from demandlens.sources import archive, catalogue, raw
@@ -643,6 +643,42 @@ def archive_import_limit(spark, folder):
     )
 
 
+def _archive_folder(spark, folder):
+    """The archive lines as a plain, a packed and a packed file without its suffix (by file number)."""
+    lines = A.archive_lines(spark, folder)
+    path = shared_dir(spark, "archive")
+    for number, (kind, codec) in enumerate((("plain", None), ("packed", "gzip"), ("renamed", "gzip"))):
+        aside = f"{path}-{kind}"
+        part = lines.where(F.col("file") == number).select("line")
+        part.write.option("compression", codec or "none").text(aside)
+        for i, name in enumerate(x for x in store.names_in(spark, aside) if x.startswith("part-")):
+            suffix = ".gz" if kind == "packed" else ""
+            source, files = store.filesystem(spark, f"{aside}/{name}")
+            target, _ = store.filesystem(spark, f"{path}/searches-{kind}-{i}.jsonl{suffix}")
+            files.mkdirs(target.getParent())
+            files.rename(source, target)
+    return path
+
+
+@query
+def archive_files(spark, folder):
+    """Files of three kinds through the import job: lines per kind and reason."""
+    place = store.Store(shared_dir(spark, "import-store"))
+    report = imports.import_archives(spark, place, _archive_folder(spark, folder))
+    kind = F.regexp_extract("file", "searches-([a-z]+)-", 1).alias("kind")
+    return report.groupBy(kind, "reason").agg(F.sum("line_count").alias("line_count"))
+
+
+@query
+def archive_files_raw(spark, folder):
+    """The raw layer after those files were imported, and imported again."""
+    place = store.Store(shared_dir(spark, "import-store"))
+    path = _archive_folder(spark, folder)
+    for _ in range(2):
+        imports.import_archives(spark, place, path, ticket=privacy.derived_ticket_sha256)
+    return _raw_rows(store.read_raw(spark, place))
+
+
 # -- jobs that write ----------------------------------------------------------
 
 
