@@ -50,16 +50,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(texts: Sequence[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about `chars` characters each; nothing is left out."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= chars:
+def sized_slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of about `most` together; a larger row ends its run."""
+    start, held, i = 0, 0, -1
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start <= i:
+        yield start, i + 1
+
+
+def slices(texts: Sequence[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `chars` characters each; nothing is left out."""
+    return sized_slices((len(text or "") for text in texts), chars)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -27,21 +27,27 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import WordTable, bound_batches, mix64, shuffle_partitions, slices
+from demandlens.llm.common import bound_batches, mix64, shuffle_partitions, sized_slices
 
 MAGIC = 0x31534449
 TRAILER = 32
-#: Pieces between single spaces whose ids a worker remembers (twice as many at most).
-REMEMBERED = 300_000
+#: Bytes of pieces and their ids that a worker remembers; what one slice of texts adds comes on top.
+REMEMBERED_BYTES = 128 << 20
+#: Characters of text that are encoded at once.
+ENCODED_CHARS = 4_000_000
+#: Pieces that the tokenizer gets as one text.
+JOINED = 512
 #: Payload bytes read at once.
 READ_BYTES = 8 << 20
 GAMMA = 2.0
@@ -69,12 +75,20 @@ def _publish(path: str, chunks: Iterator[bytes] | list[bytes]) -> None:
 # -- encoding -----------------------------------------------------------------
 
 
+def _divides(token) -> bool:
+    """Whether a token always cuts text before all else and takes nothing of its neighbours."""
+    strips = token.lstrip or token.rstrip or token.single_word
+    return token.special and not token.normalized and not strips and " " not in token.content
+
+
 class Encoder:
     """Ids of whole texts, through the pieces between single spaces.
 
     The tokenizer cuts text before a space that stands between two other characters
-    and never looks across, so each piece (with its space) is encoded once per task.
-    Texts with other runs of white space at a space are encoded whole.
+    and never looks across, so each distinct piece (with its space) is encoded once.
+    Texts with other runs of white space at a space are encoded whole. Words stay in
+    Arrow: a slice of texts is cut, its pieces are numbered, and the ids of all of them
+    are gathered at once; Python sees only the distinct pieces of the slice.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -84,41 +98,111 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.end = np.array([end_id], self.dtype).tobytes()
+        self.end_id = end_id
+        special = self.tokenizer.get_added_tokens_decoder().items()
+        self.mark = next(((i, x.content) for i, x in special if _divides(x)), None)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the end id is known: piece 0."""
         # The first piece of a text has no space before it.
-        self.first = WordTable(self._worked_out(""), REMEMBERED)
-        self.later = WordTable(self._worked_out(" "), REMEMBERED)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        pieces = text.split(" ")
-        if "" in pieces or text != text.strip() or " \n" in text or "\n " in text:
-            return None
-        return None if any(c in text for c in UNUSUAL_SPACES) else pieces
-
-    def _worked_out(self, before: str):
-        return lambda words: zip(words, self._encode([before + x for x in words]), strict=True)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(x) for x in texts]
-        whole = [i for i, x in enumerate(cut) if x is None]
-        by_whole = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        self.first.learn({x[0] for x in cut if x})
-        self.later.learn(set().union(*(x[1:] for x in cut if x)))
-        first, later = self.first.__getitem__, self.later.__getitem__
-        return [
-            (by_whole[i] if x is None else first(x[0]) + b"".join(map(later, x[1:]))) + self.end
-            for i, x in enumerate(cut)
-        ]
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.array([self.end_id], self.dtype)
+        self.held_bytes = 0
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-#: White space other than the plain space and the line feed.
-UNUSUAL_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
-    map(chr, range(0x2000, 0x200B))
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has.
+
+        The tokenizer cuts at a special token before all else, so pieces with one between
+        them are encoded as if alone, at less cost. Pieces that hold it are encoded alone.
+        """
+        if self.mark:
+            number, text = self.mark
+            joined = [text.join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+            flat = np.fromiter(
+                chain.from_iterable(chain(x, (number,)) for x in self._encode(joined)), self.dtype
+            )
+            is_mark = flat == number
+            size = np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+            if len(size) == len(pieces):
+                return flat[~is_mark], size
+        found = self._encode(pieces)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(size.sum())), size
+
+    def _learn(self, known: dict[str, int], before: str, pieces: list[str]) -> None:
+        new = [x for x in pieces if x not in known]
+        if not new:
+            return
+        flat, size = self._encode_pieces([before + x for x in new])
+        known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, flat])
+        self.held_bytes += sum(map(len, new)) + 160 * len(new) + flat.nbytes
+
+    def _numbers(self, known: dict[str, int], before: str, pieces: pa.Array) -> np.ndarray:
+        """The number of every piece; new ones are worked out together."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(known, before, distinct)
+        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        return number[coded.indices.to_numpy()]
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are cut at their spaces, one after the other, and the ends of each."""
+        if self.held_bytes >= REMEMBERED_BYTES:
+            self._forget()
+        lists = pc.split_pattern(texts, " ")
+        edge = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.flatten()
+        edge = edge - edge[0]
+        leads = np.zeros(len(pieces), bool)
+        leads[edge[:-1]] = True
+        # One more place behind every text is piece 0, the end id.
+        at = np.arange(len(pieces)) + np.repeat(np.arange(len(texts)), np.diff(edge))
+        order = np.zeros(len(pieces) + len(texts), np.int64)
+        order[at[leads]] = self._numbers(self.first, "", pieces.filter(pa.array(leads)))
+        order[at[~leads]] = self._numbers(self.later, " ", pieces.filter(pa.array(~leads)))
+        size = self.size[order]
+        ends = np.cumsum(size)
+        source = np.repeat(self.start[order] - ends + size, size)
+        source += np.arange(len(source))
+        return self.ids[source], ends[edge[1:] + np.arange(len(texts))]
+
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """The ids of all texts in order, as pieces of one byte string, and each text's number of ids.
+
+        Texts are not null.
+        """
+        is_whole = pc.match_substring_regex(texts, NOT_CUT).to_numpy(zero_copy_only=False)
+        sizes = np.empty(len(texts), np.int64)
+        out: list[bytes] = [b""] * len(texts)
+        whole = np.flatnonzero(is_whole)
+        found = self._encode(texts.take(pa.array(whole)).to_pylist())
+        for i, ids in zip(whole.tolist(), found, strict=True):
+            out[i], sizes[i] = np.array([*ids, self.end_id], self.dtype).tobytes(), len(ids) + 1
+        cut = np.flatnonzero(~is_whole)
+        if len(cut):
+            ids, ends = self._cut(texts.take(pa.array(cut)))
+            sizes[cut] = np.diff(ends, prepend=0)
+            if not len(whole):
+                return [ids.tobytes()], sizes
+            begin = 0
+            for i, end in zip(cut.tolist(), ends.tolist(), strict=True):
+                out[i], begin = ids[begin:end].tobytes(), end
+        return out, sizes
+
+
+#: Spaces at an end or in runs, and white space other than the plain space and the line feed.
+NOT_CUT = (
+    r"\A[ \n]|[ \n]\z|  | \n|\n "
+    r"|[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
 
@@ -137,11 +221,11 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
         def chunks() -> Iterator[bytes]:
             done = 0
             for batch in batches:
-                keys, texts = batch.column(0), batch.column(1).to_pylist()
-                for a, b in slices(texts):
-                    ids = encoder.encode([x or "" for x in texts[a:b]])
-                    size = np.fromiter(map(len, ids), np.int64, b - a)
-                    lengths.append(size)
+                keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+                chars = pc.utf8_length(texts).to_numpy()
+                for a, b in sized_slices(chars, ENCODED_CHARS):
+                    ids, size = encoder.encode(texts.slice(a, b - a))
+                    lengths.append(size * encoder.width)
                     number = np.arange(done, done + b - a)
                     done += b - a
                     made.append(
@@ -150,12 +234,12 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
                                 keys.slice(a, b - a),
                                 pa.array(np.full(b - a, shard, np.int32)),
                                 pa.array(number),
-                                pa.array(size // encoder.width),
+                                pa.array(size),
                             ],
                             ["doc_key", "shard", "doc_no", "n_tokens"],
                         )
                     )
-                    yield b"".join(ids)
+                    yield from ids
             ends = np.concatenate([np.zeros(1, np.int64), *lengths]).cumsum().astype("<u8")
             yield ends.tobytes()
             yield np.array([MAGIC, encoder.width, done, ends[-1]], "<u8").tobytes()
