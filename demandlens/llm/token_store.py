@@ -27,7 +27,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ from demandlens.llm.common import bound_batches, mix64, shuffle_partitions, size
 MAGIC = 0x31534449
 TRAILER = 32
 #: Bytes of pieces and their ids that a worker remembers; what one slice of texts adds comes on top.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 192 << 20
 #: Characters of text that are encoded at once.
 ENCODED_CHARS = 4_000_000
 #: Pieces that the tokenizer gets as one text.
@@ -135,10 +135,7 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), self.dtype, int(size.sum())), size
 
-    def _learn(self, known: dict[str, int], before: str, pieces: list[str]) -> None:
-        new = [x for x in pieces if x not in known]
-        if not new:
-            return
+    def _learn(self, known: dict[str, int], before: str, new: list[str]) -> None:
         flat, size = self._encode_pieces([before + x for x in new])
         known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
@@ -149,9 +146,12 @@ class Encoder:
     def _numbers(self, known: dict[str, int], before: str, pieces: pa.Array) -> np.ndarray:
         """The number of every piece; new ones are worked out together."""
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._learn(known, before, distinct)
-        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        number = np.array(list(map(known.get, distinct, repeat(-1))), np.int64)
+        is_new = number < 0
+        if is_new.any():
+            number[is_new] = np.arange(is_new.sum()) + len(self.size)
+            self._learn(known, before, distinct[is_new].tolist())
         return number[coded.indices.to_numpy()]
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
