@@ -85,13 +85,25 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+# Rows whose least and greatest name the index of a file keeps: what a look-up reads at least.
+INDEXED_ROWS = 1_024
+
+
 def replace_days(states: DataFrame, path: str, entity: tuple[str, ...]) -> None:
-    """Write hourly states over the days they belong to; other days stay as they are."""
+    """Write hourly states over the days they belong to; other days stay as they are.
+
+    Within its day an artist lies together, by hour: a look-up finds the rows by the page
+    index of a file and passes over files by their bloom filters. Files follow from the size
+    of the day; an artist too large for one is split.
+    """
     (
-        states.repartition("hour_date", F.pmod(F.xxhash64(*entity), F.lit(32)))
-        .sortWithinPartitions("hour_date", "hour_start", *entity)
+        states.hint("rebalance", "hour_date", ARTIST[0])
+        .sortWithinPartitions("hour_date", *entity, "hour_start")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.page.row.count.limit", INDEXED_ROWS)
+        .option(f"parquet.bloom.filter.enabled#{ARTIST[0]}", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy("hour_date")
         .parquet(path)
     )

@@ -486,6 +486,7 @@ def all_statements() -> dict[str, str]:
     out["artist_detail"] = (
         f"{events} {history} UNION ALL (SELECT * FROM ({tracks}) ORDER BY searches DESC, entry LIMIT 50)"
     )
+    out["artist_detail_stored"] = out["artist_detail"]
     out["artist_search"] = f"""{events}
 SELECT artist_name, count(*) AS searches FROM events_parsed
 WHERE parse_confidence >= 0.5 AND contains(lower(artist_name), lower('ARTIST 1'))

@@ -203,6 +203,25 @@ def artist_detail(spark, folder):
     )
 
 
+@query
+def artist_detail_stored(spark, folder):
+    """The same page from the stored hourly tables, which are laid out for it."""
+    place = store.Store(shared_dir(spark, "look-up"))
+    for states, entity in (
+        (_artist_hourly(spark, folder), hourly.ARTIST), (_track_hourly(spark, folder), hourly.TRACK)
+    ):
+        store.replace_days(hourly.conform_hourly(states, entity), place.hourly(entity), entity)
+    history, tracks = lookups.artist_detail(
+        store.read_hourly(spark, place), store.read_hourly(spark, place, hourly.TRACK),
+        "artist 07", now=datetime(2024, 1, 31), history_days=20,
+    )
+    return history.select(
+        F.lit("history").alias("part"), _text("day", "entry"), "searches", "listeners"
+    ).unionAll(
+        tracks.select(F.lit("track"), F.col("track_name"), F.col("searches"), F.col("listeners"))
+    )
+
+
 @query
 def artist_search(spark, folder):
     return lookups.search_artists(
