@@ -629,6 +629,33 @@ SELECT count(*) FILTER ((doc_id + piece_no) % 10 <> 0) AS records,
          f"WHERE received_at >= TIMESTAMP '2024-01-{a}' AND received_at < TIMESTAMP '2024-01-{b}'")
         for a, b in ((15, 22), (22, 29))
     ]
+    gaps = f"""{events},
+asked AS (SELECT DISTINCT searcher_pseudonym, track_name AS query_text, received_at FROM events_parsed),
+timed AS (
+    SELECT *, lag(received_at) OVER same AS earlier,
+        floor((epoch_us(received_at) - epoch_us(lag(received_at) OVER same)) / 1000000) AS gap
+    FROM asked WINDOW same AS (PARTITION BY searcher_pseudonym, query_text ORDER BY received_at))"""
+    out["periodic_repeats"] = f"""{gaps},
+counted AS (
+    SELECT searcher_pseudonym, query_text, count(*) AS n,
+        CAST(floor((gap + 1800) / 3600) * 3600 AS BIGINT) AS interval_seconds
+    FROM timed WHERE gap IS NOT NULL GROUP BY ALL),
+placed AS (
+    SELECT *, sum(n) OVER (PARTITION BY searcher_pseudonym, query_text) AS gaps,
+        row_number() OVER (
+            PARTITION BY searcher_pseudonym, query_text ORDER BY n DESC, interval_seconds) AS place
+    FROM counted)
+SELECT searcher_pseudonym, query_text, CAST(gaps + 1 AS BIGINT) AS searches, interval_seconds,
+    n AS steady, round(n / gaps, 6) AS share
+FROM placed WHERE place = 1 AND gaps >= 3"""
+    out["search_bursts"] = f"""{gaps},
+numbered AS (
+    SELECT *, sum(CASE WHEN gap <= 86400 THEN 0 ELSE 1 END) OVER (
+        PARTITION BY searcher_pseudonym, query_text ORDER BY received_at) AS burst
+    FROM timed)
+SELECT searcher_pseudonym, query_text, {time_text("min(received_at)")} AS started_at,
+    {time_text("max(received_at)")} AS ended_at, count(*) AS searches
+FROM numbered GROUP BY searcher_pseudonym, query_text, burst HAVING count(*) >= 3"""
     out["artist_trends"] = f"""{events},
 before AS ({weeks[0]}), now AS ({weeks[1]}),
 b AS (SELECT artist_name, count(DISTINCT searcher_pseudonym) AS n FROM before GROUP BY artist_name),

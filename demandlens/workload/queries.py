@@ -13,8 +13,8 @@ from demandlens.functions import parsing, privacy
 from demandlens.functions import text as X
 from demandlens.operators import dedup, hourly, resolver
 from demandlens.plans import (
-    charts, first_seen, fold, imports, lookups, maintenance, overlap, periods, reprocess, scenes,
-    spellings, store, trends,
+    charts, first_seen, fold, imports, lookups, maintenance, overlap, periods, repeats, reprocess,
+    scenes, spellings, store, trends,
 )
 from demandlens.session import apply_defaults, shared_dir
 from demandlens.sources import archive, catalogue, raw
@@ -945,6 +945,25 @@ def artist_trends(spark, folder):
     )
 
 
+def _asked_for_kinds(spark, folder):
+    """Searches for kinds of events, which people repeat."""
+    return A.events_as_parsed(spark, folder).withColumn("query_text", F.col("track_name"))
+
+
+@query
+def periodic_repeats(spark, folder):
+    """How regular every person's repeated search is, by the hour."""
+    found = repeats.periodic_repeats(_asked_for_kinds(spark, folder), tolerance=3600)
+    return found.withColumn("share", F.round("share", 6))
+
+
+@query
+def search_bursts(spark, folder):
+    """Repeats of a search at most a day after the last."""
+    found = repeats.bursts(_asked_for_kinds(spark, folder), within=86_400)
+    return found.withColumns({c: F.date_format(c, SECOND) for c in ("started_at", "ended_at")})
+
+
 @query
 def artist_chart_spellings(spark, folder):
     """Artists typed in three ways by hour of day, counted together."""
