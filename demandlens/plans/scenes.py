@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 SMOOTHING = 1.0
 MOST_SEEDS = 1000
+# Into how many parts searches are dealt before their words are told apart, at least.
+LEAST_PARTS = 256
 
 
 def words_of(text: Column) -> Column:
@@ -30,10 +32,18 @@ def words_of(text: Column) -> Column:
 def person_words(
     searches: DataFrame, person: str = "searcher_pseudonym", text: str = "query_text"
 ) -> DataFrame:
-    """Distinct pairs of person and word; searches without a person or a word have none."""
+    """Distinct pairs of person and word; searches without a person or a word have none.
+
+    A task holds the pairs of its searches in memory, several for each. Searches are small
+    beside them, so they are dealt to a given number of tasks, which adaptive execution
+    leaves as it is; a person's searches go to many of them.
+    """
+    parts = max(LEAST_PARTS, int(searches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         searches.where(F.col(person).isNotNull())
-        .select(F.col(person).alias("person"), F.explode_outer(words_of(F.col(text))).alias("word"))
+        .select(F.col(person).alias("person"), F.col(text).alias("_text"))
+        .repartition(parts, "person", "_text")
+        .select("person", F.explode_outer(words_of(F.col("_text"))).alias("word"))
         .where("word IS NOT NULL")
         .distinct()
     )
