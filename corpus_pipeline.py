@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.llm import bagminhash, decontaminate, language, secret_scan, sentencepiece_codec
-from demandlens.llm.common import fresh_name, stored, table
+from demandlens.llm.common import fresh_name, sent_if_few, stored, table
 from demandlens.llm.queries import vocabulary
 
 #: SQL for run()'s rows: none, as alignment and classifiers are not SQL.
@@ -33,7 +33,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     """The rows whose number is not in `gone`, without it."""
-    return rows.join(gone.select(F.col("row_no").alias(row)).distinct(), row, "left_anti").drop(row)
+    numbers = sent_if_few(gone.select(F.col("row_no").alias(row)).distinct(), "gone")
+    return rows.join(numbers, row, "left_anti").drop(row)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -84,6 +85,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
     spans = fresh_name(docs, "_spans")
     found = secret_scan.scan(rows, row_no=row).where(F.size("spans") > 0)
     found = found.select(F.col("row_no").alias(row), F.col("spans").alias(spans))
+    found = sent_if_few(found, "spans", F.size(spans))
     empty = F.array().cast(found.schema[spans].dataType)
     masked = secret_scan.masked(F.col("text"), F.coalesce(spans, empty))
     out = rows.join(found, row, "left").withColumn("text", masked)

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import bound_batches, mix64, slices, stored
+from demandlens.llm.common import bound_batches, mix64, sent_if_few, slices, stored
 from demandlens.llm.components import components
 
 SHINGLE = 5
@@ -250,7 +250,7 @@ def near_duplicates(
 
     first = members.where("node <> least").groupBy("node").agg(F.min("least").alias("b"))
     first = first.withColumnRenamed("node", "a")
-    wanted = members.select("node").distinct()
+    wanted = sent_if_few(members.select("node").distinct(), "wanted")
     candidates = rows.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = stored(candidates.mapInArrow(_multisets, "node long, items array<int>, map array<long>"), "multisets")
     found = components(_verified(first, sets, threshold))

@@ -6,7 +6,8 @@ import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from demandlens.session import shared_dir
 
@@ -29,6 +30,21 @@ def stored(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows, or values in them, that a join may send to every executor; tens of bytes each.
+MOST_SENT = 2_000_000
+
+
+def sent_if_few(df: DataFrame, purpose: str, values: Column | None = None) -> DataFrame:
+    """Narrow rows, written, and sent to every executor if they are few.
+
+    The texts they are joined with then stay where they lie. Otherwise Spark chooses.
+    `values` counts what a row holds where that is more than one.
+    """
+    rows = stored(df, purpose)
+    held = rows.agg(F.sum(values) if values is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(rows) if held <= MOST_SENT else rows
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until no column bears it, in whatever case."""
     taken = {x.lower() for x in df.columns}
