@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import bound_batches, mix64, sent_if_few, slices, stored
@@ -207,12 +207,25 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    """The pairs (a, b) whose multisets overlap enough.
+
+    Pairs are narrow: they are sent to the multisets, of which only those move that meet another.
+    """
+    pairs = sent_if_few(pairs.select("a", "b"), "to-verify")
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).join(pairs, "a")
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    right = right.join(pairs.select("b"), "b", "left_semi")
     common = F.size(F.array_intersect("x", "y"))
     linked = common >= threshold * (F.size("x") + F.size("y") - common)
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
+    return left.join(right, "b").where(linked).select("a", "b")
+
+
+def _members(banded: DataFrame) -> DataFrame:
+    """(node, band, least) of the bands with more than one node; all bands move once."""
+    of_band = Window.partitionBy("band")
+    least, n = F.min("node").over(of_band), F.count("*").over(of_band)
+    counted = banded.select("node", "band", least.alias("least"), n.alias("n"))
+    return counted.where("n > 1").drop("n")
 
 
 def near_duplicates(
@@ -244,9 +257,7 @@ def near_duplicates(
         "nodes",
     )
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"))
-    least = least.where("n > 1").drop("n")
-    members = stored(banded.join(least, "band"), "members")
+    members = stored(_members(banded), "members")
 
     first = members.where("node <> least").groupBy("node").agg(F.min("least").alias("b"))
     first = first.withColumnRenamed("node", "a")

@@ -396,6 +396,30 @@ def test_classes_are_those_of_all_pairs(spark, docs):
     assert bagminhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_bands_move_once(spark):
+    banded = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (3, 9), (5, 9), (4, 9)], "node long, band long")
+    members = bagminhash._members(banded)
+    assert members._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    got = sorted(tuple(x) for x in members.select("node", "band", "least").collect())
+    assert got == [(1, 7, 1), (2, 7, 1), (3, 9, 3), (4, 9, 3), (5, 9, 3)]
+
+
+def test_few_pairs_leave_the_multisets_where_they_lie(spark):
+    rows = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 8, 9]), (4, [7])]
+    sets = spark.createDataFrame(rows, "node long, items array<int>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = bagminhash._verified(pairs, sets, 0.8)
+        plan = linked._jdf.queryExecution().executedPlan().toString()
+        # What meets another multiset moves, behind both joins with the pairs sent.
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+        assert [tuple(x) for x in linked.collect()] == [(2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(11)
     element = rng.integers(0, 2**63, 200).astype(np.uint64)
