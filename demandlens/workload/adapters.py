@@ -95,9 +95,19 @@ def order_lines_as_raw(spark: SparkSession, folder: str) -> DataFrame:
     return order_lines_as_parsed(spark, folder).select(*S.RAW_SCHEMA.names)
 
 
+def is_spread(scan: DataFrame) -> bool:
+    """Whether no task of a scan has more than twice a core's share of its rows."""
+    per_task = scan.groupBy(F.spark_partition_id()).agg(F.count("*").alias("_rows"))
+    seen = per_task.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return (seen["most"] or 0) * cores <= 2 * (seen["all"] or 0)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    # The work on a text outweighs its shuffle: rows are dealt anew at every size.
-    return table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id")
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    # The work on a text outweighs its shuffle, but a copy of all texts is only made where
+    # the files would leave cores idle.
+    return texts if is_spread(texts) else texts.repartition("doc_id")
 
 
 def document_pieces(spark: SparkSession, folder: str) -> DataFrame:

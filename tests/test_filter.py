@@ -3,9 +3,11 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from demandlens import session
 from demandlens.operators import resolver as R
+from demandlens.workload import adapters as A
 
 
 def shuffle_files(spark):
@@ -92,3 +94,18 @@ def test_setting_is_put_back(spark):
         assert spark.conf.get(session.FREE_SHUFFLES) == "true"
         raise ZeroDivisionError
     assert spark.conf.get(session.FREE_SHUFFLES, None) is None
+
+
+def test_documents_are_dealt_anew_only_where_files_leave_cores_idle(spark, tmp_path):
+    texts = spark.range(0, 4_000, 1, 4).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")
+    )
+    got = []
+    for name, files in (("one", 1), ("eight", 8)):
+        texts.repartition(files).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        documents = A.documents(spark, f"{tmp_path}/{name}")
+        assert ("Repartition" in _plan(documents)) == (files == 1)
+        got.append(_rows(documents))
+    assert got[0] == got[1] and len(got[0]) == 4_000
+    texts.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert A.documents(spark, f"{tmp_path}/none").count() == 0
